@@ -8,8 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from wirelattice.llm.bpe import op3_bpe
 from wirelattice.llm.chat import op9_chat_formatting
+from wirelattice.llm.mixing import op2_source_mixing
+from wirelattice.llm.quality import op1_quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_rules": op1_quality_rules,
+    "op2_source_mixing": op2_source_mixing,
     "op3_bpe": op3_bpe,
     "op9_chat_formatting": op9_chat_formatting,
 }
