@@ -22,6 +22,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
+from wirelattice.sources.staging import deploy
+
 #: Characters of text that are encoded together; words kept between blocks of a task's texts.
 BLOCK_CHARS, KEPT_WORDS = 8_000_000, 500_000
 
@@ -186,6 +188,7 @@ def encoder(file: str) -> WordBPE:
 
 def encode_documents(docs: DataFrame, file: str, with_ids: bool = False) -> DataFrame:
     """Per row: doc_id, n_tokens, ids_sha256, decoded_sha256; with_ids adds ``ids`` (packed) and ``decoded``."""
+    deploy(docs.sparkSession)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary, decoded string" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

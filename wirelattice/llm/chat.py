@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wirelattice.sources.staging import deploy
+
 START, END = "<|im_start|>", "<|im_end|>"
 
 #: layout -> (field paths, the turns as (role or @path, path of the text) and the path of the list they repeat over)
@@ -122,6 +124,7 @@ def format_records(df: DataFrame, key: str, order: str, record: str) -> DataFram
     ``record`` holds a JSON object per row. A record without a known layout gives one row with null segment.
     Works row by row, so no conversation is gathered anywhere.
     """
+    deploy(df.sparkSession)
     kinds = dict(df.dtypes)
     schema = f"key {kinds[key]}, ord {kinds[order]}, position int, fingerprint string, layout string, segment string, loss_start int, loss_end int"
 

@@ -21,6 +21,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from wirelattice.sources.staging import deploy
+
 KINDS = ("email", "ip", "card", "phone")
 #: Length and stride of windows, context around a digit or @, windows decoded together.
 WINDOW, STRIDE, CONTEXT, TOGETHER = 64, 32, 24, 1024
@@ -405,6 +407,7 @@ def _blocks(texts: list[str | None]) -> Iterator[list[str]]:
 
 def detect(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, counts of base spans by kind, base_sha256, spans (all of them), n_added."""
+    deploy(docs.sparkSession)
     tagger = trained()
     schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
 
@@ -426,6 +429,7 @@ def detect(docs: DataFrame) -> DataFrame:
 
 def mask_documents(docs: DataFrame) -> DataFrame:
     """All rows and columns with the spans in ``text`` masked; null texts stay null; ``n_chars``, if there, follows the text."""
+    deploy(docs.sparkSession)
     tagger = trained()
     names = docs.columns
 

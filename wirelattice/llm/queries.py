@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from wirelattice.llm.bpe import op3_bpe
 from wirelattice.llm.chat import op9_chat_formatting
+from wirelattice.llm.jaccard import op5_jaccard_join
 from wirelattice.llm.mixing import op2_source_mixing
 from wirelattice.llm.pii import op6_pii
 from wirelattice.llm.quality import op1_quality_rules
@@ -16,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_source_mixing": op2_source_mixing,
     "op3_bpe": op3_bpe,
+    "op5_jaccard_join": op5_jaccard_join,
     "op6_pii": op6_pii,
     "op9_chat_formatting": op9_chat_formatting,
 }
