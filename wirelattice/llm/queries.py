@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from wirelattice.llm.ann import op8_ann
 from wirelattice.llm.bpe import op3_bpe
 from wirelattice.llm.chat import op9_chat_formatting
 from wirelattice.llm.jaccard import op5_jaccard_join
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe": op3_bpe,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_pii": op6_pii,
+    "op8_ann": op8_ann,
     "op9_chat_formatting": op9_chat_formatting,
 }
 
