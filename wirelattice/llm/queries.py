@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from wirelattice.llm.ann import op8_ann
 from wirelattice.llm.bpe import op3_bpe
 from wirelattice.llm.chat import op9_chat_formatting
+from wirelattice.llm.classifier import op4_quality_classifier
 from wirelattice.llm.jaccard import op5_jaccard_join
 from wirelattice.llm.mixing import op2_source_mixing
 from wirelattice.llm.pii import op6_pii
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_source_mixing": op2_source_mixing,
     "op3_bpe": op3_bpe,
+    "op4_quality_classifier": op4_quality_classifier,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_pii": op6_pii,
     "op8_ann": op8_ann,
