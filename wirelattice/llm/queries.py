@@ -14,6 +14,7 @@ from wirelattice.llm.jaccard import op5_jaccard_join
 from wirelattice.llm.mixing import op2_source_mixing
 from wirelattice.llm.pii import op6_pii
 from wirelattice.llm.quality import op1_quality_rules
+from wirelattice.llm.warc import OP10_SQL, op10_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
@@ -24,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_pii": op6_pii,
     "op8_ann": op8_ann,
     "op9_chat_formatting": op9_chat_formatting,
+    "op10_warc": op10_warc,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op10_warc": OP10_SQL}
