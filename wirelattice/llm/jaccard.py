@@ -11,8 +11,8 @@ window, so pivots are set where distances do tell documents apart:
    a document lies in the cells of the pivots at distance 0, one per slice. K leaves room for E = K - T - 1 slices with fewer than two shingles, which
    a document skips; a document with more such slices skips none of them. Two linked documents therefore meet in at least one cell.
 3. Recursion inside cells: each cell takes pivots (its smallest documents), exact distances of its members to them are computed, members within the
-   threshold are linked. A cell is done when its members lie in one component; else it goes on with the other members as pivots.
-   A cell with more than LARGE members is cut again first: its members go to the cells of new slices (another hash) inside it, in which links meet by the
+   threshold are linked. A cell is done when its members lie in one component; else it goes on with the members outside its main component as pivots.
+   A cell with more than PIVOTS of these is cut again first: its members go to the cells of new slices (another hash) inside it, in which links meet by the
    same argument and strangers with a passage in common part. A pair of the next rounds is compared only if its distances to the first pivot differ by no more than the threshold (triangle inequality) and it is
    not yet in one component. So a group of thousands of near copies is settled by its first pivots, not by all its pairs.
 
@@ -42,8 +42,8 @@ from wirelattice.sources.staging import deploy, materialise
 WORDS, PERCENT = 4, 85
 #: Growth of rings; the least T for which empty slices are skipped.
 GROWTH, FEW = 1.5, 8
-#: Pivots that a cell takes in each round after the first, members beyond which it is cut again, ids that are broadcast at most (8 bytes each).
-PIVOTS, LARGE, BROADCAST_IDS = 16, 64, 2_000_000
+#: Pivots that a cell takes in each round after the first (a cell with more members outside its main component is cut again), ids that are broadcast at most (8 bytes each).
+PIVOTS, BROADCAST_IDS = 64, 2_000_000
 #: Times that large cells are cut again; those that stay large then (true clusters just below the threshold) go on by pivots alone.
 CUTS = 3
 
@@ -203,21 +203,24 @@ def components(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> D
     left = region.where("x <> p").join(seen, ["x", "p"]).select("cell", "x", (1 - F.col("common") / F.col("total")).alias("d"))
     while True:
         named = left.join(labels.select(F.col("node").alias("x"), "component"), "x", "left").withColumn("component", F.coalesce("component", "x"))
-        open_cells = named.groupBy("cell").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("members")).where("a <> b").select("cell", "members")
+        counts = named.groupBy("cell", "component").agg(F.count("*").alias("k"))
+        open_cells = counts.groupBy("cell").agg(F.max(F.struct("k", "component")).alias("top"), F.sum("k").alias("members"))
+        open_cells = open_cells.select("cell", F.col("top.component").alias("top"), (F.col("members") - F.col("top.k")).alias("others")).where("others > 0")
         named = materialise(named.join(open_cells, "cell"), "jaccard-open")
         if named.isEmpty():
             break
-        large = named.where(F.col("members") > LARGE)
-        if not large.isEmpty() and salt < CUTS:
+        large = named.where(F.col("others") > PIVOTS)
+        if salt < CUTS and not large.isEmpty():
             salt += 1
-            small = named.where(F.col("members") <= LARGE).select("cell", "x", "d")
+            small = named.where(F.col("others") <= PIVOTS).select("cell", "x", "d")
             left = small.unionByName(cut_again(large.select("cell", "x", "d"), sets, percent, salt))
             continue
         rank = F.row_number().over(Window.partitionBy("cell").orderBy("x"))
-        pivots = named.withColumn("r", rank).where(F.col("r") <= PIVOTS).select("cell", F.col("x").alias("p"), F.col("d").alias("dp"), F.col("component").alias("cp"))
-        met = named.join(pivots, "cell").where((F.col("x") > F.col("p")) & (F.col("component") != F.col("cp")) & (F.abs(F.col("d") - F.col("dp")) <= (100 - percent) / 100 + 1e-9))
-        seen = measured(met.select("x", "p").distinct(), sets)
-        links = materialise(links.unionByName(linked(seen)), "jaccard-links")
+        pivots = named.where("component <> top").withColumn("r", rank).where(F.col("r") <= PIVOTS).select("cell", F.col("x").alias("p"), F.col("d").alias("dp"), F.col("component").alias("cp"))
+        near = F.abs(F.col("d") - F.col("dp")) <= (100 - percent) / 100 + 1e-9
+        met = named.join(pivots, "cell").where((F.col("component") != F.col("cp")) & near)
+        pairs = materialise(met.select(F.least("x", "p").alias("x"), F.greatest("x", "p").alias("p")).distinct(), "jaccard-pairs")
+        links = materialise(links.unionByName(linked(measured(pairs, sets))), "jaccard-links")
         labels = connected_components(links, "x", "p")
         left = named.join(pivots.select("cell", F.col("p").alias("x")), ["cell", "x"], "left_anti").select("cell", "x", "d")
     final = member.join(labels.select(F.col("node").alias("class"), "component"), "class", "left").select("doc_id", F.coalesce("component", "class").alias("component"))
