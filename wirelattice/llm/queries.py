@@ -11,6 +11,7 @@ from wirelattice.llm.bpe import op3_bpe
 from wirelattice.llm.chat import op9_chat_formatting
 from wirelattice.llm.classifier import op4_quality_classifier
 from wirelattice.llm.jaccard import op5_jaccard_join
+from wirelattice.llm.licenses import op7_license_scan
 from wirelattice.llm.mixing import op2_source_mixing
 from wirelattice.llm.pii import op6_pii
 from wirelattice.llm.quality import op1_quality_rules
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_classifier": op4_quality_classifier,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_pii": op6_pii,
+    "op7_license_scan": op7_license_scan,
     "op8_ann": op8_ann,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_warc": op10_warc,
