@@ -26,7 +26,7 @@ BROADCAST_IDS = 4_000_000
 SYMBOLS = "#*$%&|<>"
 
 
-def repeated_words(hashes: Column) -> Column:
+def repeated_words(hashes: Column, pairs: Column) -> Column:
     """Words in windows of three words that occur twice or more: sorts a document's windows only if two are equal."""
 
     def covered(windows: Column) -> Column:
@@ -35,21 +35,28 @@ def repeated_words(hashes: Column) -> Column:
         places = let(order, lambda s: F.sort_array(F.transform(marked(s), lambda e: e["p"])))
         return let(places, lambda p: F.aggregate(F.transform(p, lambda x, i: F.least(F.lit(3), F.coalesce(F.get(p, i + 1) - x, F.lit(3)))), F.lit(0), lambda a, x: a + x))
 
-    triples = F.transform(F.sequence(F.lit(0), F.size(hashes) - 3), lambda i: F.xxhash64(F.get(hashes, i), F.get(hashes, i + 1), F.get(hashes, i + 2)))
+    n = F.size(hashes)
+    triples = F.zip_with(F.slice(pairs, F.lit(1), n - 2), F.slice(hashes, F.lit(3), n - 2), lambda p, h: F.xxhash64(p, h))
     found = let(triples, lambda w: F.when(F.size(F.array_distinct(w)) == F.size(w), F.lit(0)).otherwise(covered(w)))
-    return F.when(F.size(hashes) < 3, F.lit(0)).otherwise(found).cast("long")
+    return F.when(n < 3, F.lit(0)).otherwise(found).cast("long")
 
 
-def buckets(hashes: Column) -> Column:
-    """The buckets of a document's words and word pairs."""
-    ones = F.transform(hashes, lambda h: F.pmod(h, F.lit(1 << BITS)))
-    pairs = F.transform(F.sequence(F.lit(1), F.size(hashes) - 1), lambda i: F.pmod(F.xxhash64(F.get(hashes, i - 1), F.get(hashes, i)), F.lit(1 << BITS)))
-    return F.when(F.size(hashes) < 2, ones).otherwise(F.concat(ones, pairs))
+def bucket(gram: Column) -> Column:
+    return gram.bitwiseAND(F.lit((1 << BITS) - 1)).cast("int")
 
 
 def hashed(docs: DataFrame) -> DataFrame:
-    """doc_id, text and the 64-bit hashes of the words."""
-    return docs.select("doc_id", "text", F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("hashes"))
+    """The rows as ``row``, doc_id, text and 64-bit hashes of the words and of the pairs of words."""
+    ones = docs.select(F.struct("*").alias("row"), "doc_id", "text", F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("hashes"))
+    n = F.size("hashes")
+    pairs = F.zip_with(F.slice("hashes", F.lit(1), n - 1), F.slice("hashes", F.lit(2), n - 1), lambda a, b: F.xxhash64(a, b))
+    return ones.withColumn("pairs", F.when(n < 2, F.array().cast("array<bigint>")).otherwise(pairs))
+
+
+def without(text: Column, characters: str) -> Column:
+    for c in characters:
+        text = F.replace(text, F.lit(c), F.lit(""))
+    return text
 
 
 def weights(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -58,9 +65,9 @@ def weights(docs: DataFrame, labels: DataFrame) -> DataFrame:
     if good.count() <= BROADCAST_IDS:
         good = F.broadcast(good)
     seen = hashed(docs).join(good, F.col("doc_id") == F.col("good_id"), "left")
-    grams = seen.select(F.explode(buckets(F.col("hashes"))).alias("b"), F.col("good_id").isNotNull().cast("long").alias("trusted"))
+    grams = seen.select(F.explode(F.transform(F.concat("hashes", "pairs"), bucket)).alias("b"), F.col("good_id").isNotNull().cast("long").alias("trusted"))
     counts = grams.groupBy("b").agg(F.count("*").alias("raw"), F.sum("trusted").alias("target"))
-    every = docs.sparkSession.range(1 << BITS).select(F.col("id").alias("b"), F.lit(0).cast("long").alias("raw"), F.lit(0).cast("long").alias("target"))
+    every = docs.sparkSession.range(1 << BITS).select(F.col("id").cast("int").alias("b"), F.lit(0).cast("long").alias("raw"), F.lit(0).cast("long").alias("target"))
     dense = counts.unionByName(every).groupBy("b").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     one = dense.groupBy().agg(F.sum("raw").alias("r"), F.sum("target").alias("t"), F.sort_array(F.collect_list(F.struct("b", "raw", "target"))).alias("c"))
     share = F.col("t") / F.col("r")
@@ -69,26 +76,32 @@ def weights(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Per row: doc_id, the base counts, base_failed, kept, llr; and ``text``."""
+    """Per row: the row itself as ``row``, doc_id, the base counts, base_failed, kept, llr."""
     h, text = F.col("hashes"), F.coalesce(F.col("text"), F.lit(""))
     size = lambda s: F.length(s).cast("long")
     lines = F.filter(F.split(text, "\n", -1), lambda x: F.btrim(x, F.lit(SPACES)) != "")
-    llr = let(F.col("w"), lambda v: F.aggregate("grams", F.lit(0.0), lambda a, b: a + F.get(v, b.cast("int")))) / F.greatest(F.lit(1), F.size("grams"))
+    of = lambda v, grams: F.aggregate(grams, F.lit(0.0), lambda a, g: a + F.get(v, bucket(g)))
+    llr = let(F.col("w"), lambda v: of(v, "hashes") + of(v, "pairs")) / F.greatest(F.lit(1), F.size("hashes") + F.size("pairs"))
     out = hashed(docs).select(
-        "doc_id", "text",
+        "row", "doc_id",
         F.size(h).cast("long").alias("n_words"),
-        size(F.translate(text, SPACES, "")).alias("word_chars"),
-        (size(text) - size(F.translate(text, SYMBOLS, ""))).alias("n_symbols"),
+        size(without(text, SPACES)).alias("word_chars"),
+        (size(text) - size(without(text, SYMBOLS))).alias("n_symbols"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-        repeated_words(h).alias("n_repeat_words"),
-        buckets(h).alias("grams"),
+        repeated_words(h, F.col("pairs")).alias("n_repeat_words"),
+        "hashes", "pairs",
     )
     # a column first, as a subquery may not stand inside a lambda; the optimizer puts it back there
-    out = out.withColumn("w", weights(docs, labels).scalar()).select(*(c for c in out.columns if c != "grams"), llr.alias("llr"))
+    out = out.withColumn("w", weights(docs, labels).scalar()).select(*(c for c in out.columns if c not in ("hashes", "pairs")), llr.alias("llr"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
 
 
+def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows, with all their columns, that the rules keep."""
+    return judge(docs, labels).where("kept").select("row.*")
+
+
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, judged against the labelled ones."""
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
