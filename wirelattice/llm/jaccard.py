@@ -10,16 +10,19 @@ window, so pivots are set where distances do tell documents apart:
    H is the sum of the slices' differences. So two linked documents agree wholly on at least K - T slices. In each slice every distinct content is a pivot, and
    a document lies in the cells of the pivots at distance 0, one per slice. K leaves room for E = K - T - 1 slices with fewer than two shingles, which
    a document skips; a document with more such slices skips none of them. Two linked documents therefore meet in at least one cell.
-3. Recursion inside cells: each cell takes pivots (its smallest documents), exact distances of its members to them are computed, members within the
-   threshold are linked. A cell is done when its members lie in one component; else it goes on with the members outside its main component as pivots.
-   A cell with more than PIVOTS of these is cut again first: its members go to the cells of new slices (another hash) inside it, in which links meet by the
-   same argument and strangers with a passage in common part. A pair of the next rounds is compared only if its distances to the first pivot differ by no more than the threshold (triangle inequality) and it is
-   not yet in one component. So a group of thousands of near copies is settled by its first pivots, not by all its pairs.
+3. Each cell takes a pivot, its smallest document; exact distances of its members to it are computed and members within the threshold are linked. A cell
+   whose members then lie in one component is done; so a group of thousands of near copies is settled by its first pivots, not by all its pairs.
+4. Recursion. In a cell with few members outside its main component these become pivots, too, and meet all members of other components. The documents of
+   larger cells join again, in the cells of finer pivots: single shingles, the rarest among these documents first. Every document is at the
+   same distance 1 - 1/n from each of its n shingles and at 1 from all others; by its window it goes to the first n - ceil(0.85 n) + 1 of them, and two
+   linked documents meet in one. In each cell members outside its main component become pivots, PIVOTS a round, and meet the members of other
+   components that sizes and ranks leave within reach, until no cell with two components is left.
+Pairs that meet are first compared by sketches, sizes of SKETCH slices, whose differences bound the symmetric difference from below.
 
-Exact copies form one class first. Within an Arrow batch a cell's key is sent on once, so a hot cell sends one row per batch and not one per document.
+Exact copies form one class first. Within TOGETHER rows a cell's key is sent on once, so a hot cell does not send one row per document.
 
 Edge cases: null and empty texts and texts without words have empty sets and link with nothing; rows that share a doc_id count as one
-document; a null doc_id keeps its row with component_id null; ties do not matter, as a component is named by its smallest doc_id; empty tables give empty
+document (the set that sorts last stands for it where they differ); a null doc_id keeps its row with component_id null; ties do not matter, as a component is named by its smallest doc_id; empty tables give empty
 results; other columns are ignored.
 """
 
@@ -42,10 +45,12 @@ from wirelattice.sources.staging import deploy, materialise
 WORDS, PERCENT = 4, 85
 #: Growth of rings; the least T for which empty slices are skipped.
 GROWTH, FEW = 1.5, 8
-#: Pivots that a cell takes in each round after the first (a cell with more members outside its main component is cut again), ids that are broadcast at most (8 bytes each).
-PIVOTS, BROADCAST_IDS = 64, 2_000_000
-#: Times that large cells are cut again; those that stay large then (true clusters just below the threshold) go on by pivots alone.
-CUTS = 3
+#: Slices of a sketch (a byte each).
+SKETCH = 256
+#: Rows of which cell keys are sent on once.
+TOGETHER = 2500
+#: Pivots that a cell takes in a round, members outside the main component up to which a cell is settled at once (SMALL <= PIVOTS), ids that are broadcast at most (8 bytes each).
+PIVOTS, SMALL, BROADCAST_IDS = 512, 8, 2_000_000
 
 
 class Rings:
@@ -88,9 +93,9 @@ def cells(shingles: np.ndarray, rings: Rings, salt: int = 0) -> np.ndarray:
 
 
 def features(docs: DataFrame, percent: int, words: int) -> DataFrame:
-    """Per row: doc_id, n, digest of the set, ``sent`` (keys that it sends on for its batch), ``shared`` (keys that it shares within its batch).
+    """Per row: doc_id, n, digest of the set, ``sent`` (keys that it sends on), ``shared`` (keys that it shares with others of its TOGETHER rows).
 
-    Of exact copies in a batch only the first has keys.
+    Of exact copies among these only the first has keys.
     """
     deploy(docs.sparkSession)
     schema = "doc_id long, n int, digest binary, sent array<long>, shared array<long>"
@@ -98,30 +103,36 @@ def features(docs: DataFrame, percent: int, words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            n, digests, keys, rows, seen = [], [], [], [], set()
-            for i, (doc, s) in enumerate(zip(ids, shingle_sets(batch.column(1), words), strict=True)):
-                n.append(len(s))
-                digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                if doc is not None and len(s) and digests[-1] not in seen:
-                    seen.add(digests[-1])
-                    keys.append(cells(s, rings))
-                    rows.append(np.full(len(keys[-1]), i, np.int32))
-            flat = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
-            row = np.concatenate(rows) if rows else np.zeros(0, np.int32)
-            order = np.argsort(flat, kind="stable")
-            flat, row = flat[order], row[order]
-            new = np.r_[True, flat[1:] != flat[:-1]] if len(flat) else np.zeros(0, bool)
-            alone = new & np.r_[new[1:], True] if len(flat) else new
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int32()), pa.array(digests, pa.binary()), _lists(flat[new], row[new], len(ids)), _lists(flat[~alone], row[~alone], len(ids))],
-                names=["doc_id", "n", "digest", "sent", "shared"],
-            )
+            for low in range(0, batch.num_rows, TOGETHER):
+                yield _keys(batch.slice(low, TOGETHER), rings, words)
 
     whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     return whole.mapInArrow(run, schema)
 
 
+def _keys(batch: pa.RecordBatch, rings: Rings, words: int) -> pa.RecordBatch:
+    """The features of some rows."""
+    n, digests, keys, rows, seen = [], [], [], [], set()
+    for i, (doc, s) in enumerate(zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), words), strict=True)):
+        n.append(len(s))
+        digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+        if doc is not None and len(s) and digests[-1] not in seen:
+            seen.add(digests[-1])
+            keys.append(cells(s, rings))
+            rows.append(np.full(len(keys[-1]), i, np.int32))
+    flat = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
+    row = np.concatenate(rows) if rows else np.zeros(0, np.int32)
+    del keys, rows
+    order = np.argsort(flat, kind="stable")
+    flat, row = flat[order], row[order]
+    new = np.r_[True, flat[1:] != flat[:-1]] if len(flat) else np.zeros(0, bool)
+    alone = new & np.r_[new[1:], True] if len(flat) else new
+    return pa.RecordBatch.from_arrays(
+        [batch.column(0), pa.array(n, pa.int32()), pa.array(digests, pa.binary()), _lists(flat[new], row[new], len(n)), _lists(flat[~alone], row[~alone], len(n))],
+        names=["doc_id", "n", "digest", "sent", "shared"],
+    )
+
+
 def _lists(values: np.ndarray, row: np.ndarray, rows: int) -> pa.Array:
     order = np.argsort(row, kind="stable")
     ends = np.cumsum(np.bincount(row, minlength=rows))
@@ -129,47 +140,65 @@ def _lists(values: np.ndarray, row: np.ndarray, rows: int) -> pa.Array:
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """(id, items) for the documents ``ids``: their shingles, recomputed from the texts."""
+    """(id, items, sketch) for the documents ``ids``: their shingles, recomputed from the texts, and the sizes of SKETCH slices of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            items = [s.view(np.int64) for s in shingle_sets(batch.column(1), words)]
-            ends = np.cumsum([0, *map(len, items)])
-            flat = np.concatenate(items) if items else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))], names=["id", "items"])
+            for low in range(0, batch.num_rows, TOGETHER):
+                part = batch.slice(low, TOGETHER)
+                items = list(shingle_sets(part.column(1), words))
+                sketch = np.array([np.minimum(np.bincount((mix(s) >> U(56)).astype(np.int64), minlength=SKETCH), 127) for s in items], np.int8)
+                ends = np.cumsum([0, *map(len, items)])
+                flat = np.concatenate(items).view(np.int64) if items else np.zeros(0, np.int64)
+                lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64())), pa.ListArray.from_arrays(pa.array(np.arange(len(items) + 1) * SKETCH, pa.int32()), pa.array(sketch.ravel(), pa.int8()))]
+                yield pa.RecordBatch.from_arrays([part.column(0), *lists], names=["id", "items", "sketch"])
 
     whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    return whole.join(ids, whole.doc_id == ids.id, "left_semi").mapInArrow(run, "id long, items array<long>")
+    return few(whole.withColumnRenamed("doc_id", "id"), ids).mapInArrow(run, "id long, items array<long>, sketch array<tinyint>")
 
 
-def cut_again(rows: DataFrame, sets: DataFrame, percent: int, salt: int) -> DataFrame:
-    """(cell, x, d) rows of large cells, each in the cells of its new slices inside the old cell."""
-    rings = Rings(percent)
+def few(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose id is among ``ids``, which are broadcast up to BROADCAST_IDS."""
+    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            old = batch.column(0).to_numpy().view(U)
-            items = batch.column(3)
-            flat, ends = items.flatten().to_numpy().view(U), np.r_[0, np.cumsum(items.value_lengths().to_numpy())]
-            for low in range(0, len(old), 256):
-                keys = [mix(cells(flat[ends[i] : ends[i + 1]], rings, salt) + mix(old[i : i + 1])) for i in range(low, min(low + 256, len(old)))]
-                at = np.repeat(np.arange(low, low + len(keys)), [len(k) for k in keys])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), batch.column(1).take(pa.array(at)), batch.column(2).take(pa.array(at))], names=["cell", "x", "d"])
-
-    whole = rows.join(sets.select(F.col("id").alias("x"), "items"), "x").select("cell", "x", "d", "items")
-    fresh = materialise(whole.mapInArrow(run, "cell long, x long, d double"), "jaccard-cut")
-    shared = fresh.groupBy("cell").agg(F.min("x").alias("a"), F.max("x").alias("b")).where("a <> b").select("cell")
-    return fresh.join(shared, "cell")
-
-
-def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(x, p, common, total) of pairs (x, p): sizes of intersection and union."""
-    a = sets.select(F.col("id").alias("x"), F.col("items").alias("xs"))
-    b = sets.select(F.col("id").alias("p"), F.col("items").alias("ps"))
+
+def rare_cells(sets: DataFrame, ids: DataFrame, percent: int) -> DataFrame:
+    """(cell, x, n, rank): each document in the cells of its rarest shingles, as many as its window needs.
+
+    Shingles that one document alone holds come first and have no cell of two members, so they are only counted. A document of size n that links with one
+    of size b shares at least a = 0.85 / 1.85 (n + b) shingles with it, so the first that they share is among its n - a + 1 rarest: a cell keeps
+    the documents for which its smallest member leaves this open.
+    """
+    items = few(sets, ids).select("id", F.size("items").alias("n"), F.explode("items").alias("cell"))
+    held = items.withColumn("df", F.count("*").over(Window.partitionBy("cell"))).where("df > 1")
+    own = Window.partitionBy("id")
+    ranked = held.withColumn("rank", F.row_number().over(own.orderBy("df", "cell")) + F.col("n") - F.count("*").over(own))
+    first = ranked.select("cell", F.col("id").alias("x"), "n", "rank").where(in_reach("n", F.ceil(F.col("n") * percent / 100), "rank", percent))
+    low = F.min("n").over(Window.partitionBy("cell"))
+    return first.withColumn("low", low).where(in_reach("n", F.greatest("low", F.ceil(F.col("n") * percent / 100)), "rank", percent)).drop("low")
+
+
+def in_reach(n: str, other, rank: str, percent: int):
+    """Whether a shingle of this rank can be the first that a set of size n shares with a linked one of size ``other``."""
+    return F.col(rank) <= F.col(n) - F.ceil((F.col(n) + other) * percent / (100 + percent)) + 1
+
+
+def measured(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (x, p) that link.
+
+    A pair's symmetric difference is at least the summed differences of its sketches (the triangle inequality in each slice); pairs that fail by
+    these few bytes never fetch their sets. The rest are decided by the exact intersection.
+    """
+    small = sets.select("id", F.size("items").alias("n"), "sketch")
+    a = small.select(F.col("id").alias("x"), F.col("n").alias("xn"), F.col("sketch").alias("xk"))
+    b = small.select(F.col("id").alias("p"), F.col("n").alias("pn"), F.col("sketch").alias("pk"))
+    apart = F.aggregate(F.zip_with("xk", "pk", lambda u, v: F.abs(u.cast("int") - v.cast("int"))), F.lit(0), lambda t, d: t + d)
+    near = pairs.join(a, "x").join(b, "p").where((100 + percent) * apart <= (100 - percent) * (F.col("xn") + F.col("pn"))).select("x", "p", "xn", "pn")
+    near = materialise(near, "jaccard-near")
+    a, b = (few(sets, near.select(F.col(c).alias("id")).distinct()).select(F.col("id").alias(c), F.col("items").alias(c + "s")) for c in ("x", "p"))
     common = F.size(F.array_intersect("xs", "ps"))
-    return pairs.join(a, "x").join(b, "p").select("x", "p", common.alias("common"), (F.size("xs") + F.size("ps") - common).alias("total"))
+    both = near.join(a, "x").join(b, "p").select("x", "p", common.alias("common"), (F.col("xn") + F.col("pn") - common).alias("total"))
+    return both.where(100 * F.col("common") >= percent * F.col("total")).select("x", "p")
 
 
 def components(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
@@ -191,43 +220,81 @@ def components(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> D
     first = region.groupBy("cell").agg(F.min("x").alias("p"), F.max("x").alias("high")).where("p <> high").drop("high")
     region = materialise(region.join(first, "cell"), "jaccard-regions")
     ids = region.select(F.col("x").alias("id")).distinct()
-    sets = materialise(sets_of(docs, ids, words).groupBy("id").agg(F.max("items").alias("items")), "jaccard-sets")
+    sets = materialise(sets_of(docs, ids, words), "jaccard-sets")
+    if known.count() > member.count():  # some rows share a doc_id
+        sets = materialise(sets.groupBy("id").agg(F.max(F.struct("items", "sketch")).alias("s")).select("id", "s.items", "s.sketch"), "jaccard-sets")
 
     pairs = region.where("x <> p").select("x", "p").distinct()
-    seen = materialise(measured(pairs, sets), "jaccard-links")
-    linked = lambda m: m.where(100 * F.col("common") >= percent * F.col("total")).select("x", "p")
-    links = linked(seen).unionByName(tied)
+    links = materialise(measured(pairs, sets, percent).unionByName(tied), "jaccard-links")
     labels = connected_components(links, "x", "p")
-    # (cell, x, distance to the cell's first pivot); the pivot itself has met all members
-    salt = 0
-    left = region.where("x <> p").join(seen, ["x", "p"]).select("cell", "x", (1 - F.col("common") / F.col("total")).alias("d"))
-    while True:
-        named = left.join(labels.select(F.col("node").alias("x"), "component"), "x", "left").withColumn("component", F.coalesce("component", "x"))
+
+    def among(rows: DataFrame) -> DataFrame:
+        """The rows of cells with more than one component, with each cell's main component and the number of members outside it."""
+        named = rows.join(labels.select(F.col("node").alias("x"), "component"), "x", "left").withColumn("component", F.coalesce("component", "x"))
         counts = named.groupBy("cell", "component").agg(F.count("*").alias("k"))
-        open_cells = counts.groupBy("cell").agg(F.max(F.struct("k", "component")).alias("top"), F.sum("k").alias("members"))
-        open_cells = open_cells.select("cell", F.col("top.component").alias("top"), (F.col("members") - F.col("top.k")).alias("others")).where("others > 0")
-        named = materialise(named.join(open_cells, "cell"), "jaccard-open")
+        tops = counts.groupBy("cell").agg(F.max(F.struct("k", "component")).alias("top"), F.sum("k").alias("members"))
+        tops = tops.select("cell", F.col("top.component").alias("top"), (F.col("members") - F.col("top.k")).alias("others")).where("others > 0")
+        return materialise(named.join(tops, "cell"), "jaccard-open")
+
+    def compared(named: DataFrame, window) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """The cells' pivots, and links and labels after they met the members of other components in their window."""
+        rank = F.row_number().over(Window.partitionBy("cell").orderBy("x"))
+        chosen = named.where("component <> top").withColumn("r", rank).where(F.col("r") <= PIVOTS)
+        pivots = chosen.select("cell", *(F.col(c).alias("p_" + c) for c in named.columns if c != "cell"))
+        met = named.join(pivots, "cell").where((F.col("component") != F.col("p_component")) & window)
+        pairs = materialise(met.select(F.least("x", "p_x").alias("x"), F.greatest("x", "p_x").alias("p")).distinct(), "jaccard-pairs")
+        new = materialise(measured(pairs, sets, percent), "jaccard-links")
+        if new.isEmpty():
+            return pivots, links, labels
+        return pivots, links.unionByName(new), connected_components(links.unionByName(new), "x", "p")
+
+    # the first pivots have met all members of their cells
+    rest = among(region.where("x <> p").select("cell", "x"))
+    _, links, labels = compared(rest.where(F.col("others") <= SMALL), F.lit(True))
+    large = rest.where(F.col("others") > SMALL).select(F.col("x").alias("id")).distinct()
+    left = rare_cells(sets, large, percent)
+    while True:
+        named = among(left)
         if named.isEmpty():
             break
-        large = named.where(F.col("others") > PIVOTS)
-        if salt < CUTS and not large.isEmpty():
-            salt += 1
-            small = named.where(F.col("others") <= PIVOTS).select("cell", "x", "d")
-            left = small.unionByName(cut_again(large.select("cell", "x", "d"), sets, percent, salt))
-            continue
-        rank = F.row_number().over(Window.partitionBy("cell").orderBy("x"))
-        pivots = named.where("component <> top").withColumn("r", rank).where(F.col("r") <= PIVOTS).select("cell", F.col("x").alias("p"), F.col("d").alias("dp"), F.col("component").alias("cp"))
-        near = F.abs(F.col("d") - F.col("dp")) <= (100 - percent) / 100 + 1e-9
-        met = named.join(pivots, "cell").where((F.col("component") != F.col("cp")) & near)
-        pairs = materialise(met.select(F.least("x", "p").alias("x"), F.greatest("x", "p").alias("p")).distinct(), "jaccard-pairs")
-        links = materialise(links.unionByName(linked(measured(pairs, sets))), "jaccard-links")
-        labels = connected_components(links, "x", "p")
-        left = named.join(pivots.select("cell", F.col("p").alias("x")), ["cell", "x"], "left_anti").select("cell", "x", "d")
+        window = in_reach("n", F.col("p_n"), "rank", percent) & in_reach("p_n", F.col("n"), "p_rank", percent) & (100 * F.least("n", "p_n") >= percent * F.greatest("n", "p_n"))
+        pivots, links, labels = compared(named, window)
+        # a cell whose outside members were all pivots is done
+        more = named.where(F.col("others") > PIVOTS)
+        left = more.join(pivots.select("cell", F.col("p_x").alias("x")), ["cell", "x"], "left_anti").select("cell", "x", "n", "rank")
     final = member.join(labels.select(F.col("node").alias("class"), "component"), "class", "left").select("doc_id", F.coalesce("component", "class").alias("component"))
     out = feats.select("doc_id", F.col("n").cast("long").alias("n_shingles")).join(final, "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, percent: int = 80, words: int = 5) -> DataFrame:
+    """The rows, with all their columns, of one document of each component: the one that names it. Of rows that share its doc_id the first by text stays.
+
+    Rows with a null doc_id stay.
+    """
+    found = materialise(components(docs, percent, words).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("k")), "jaccard-kept")
+    ids = found.select(F.col("doc_id").alias("kept_id"), "k")
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"))
+    stay = rows.join(ids, F.col("id") == F.col("kept_id"))
+    out = stay.where("k = 1").select("row").unionByName(rows.where("id is null").select("row"))
+    if not found.where("k > 1").isEmpty():
+        rank = F.row_number().over(Window.partitionBy("id").orderBy(F.col("row.text")))
+        out = out.unionByName(stay.where("k > 1").withColumn("r", rank).where("r = 1").select("row"))
+    return out.select("row.*")
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, four-word shingles, similarity 0.85 or more."""
     return components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+OP5_SQL = f"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w from documents),
+s as (select doc_id, case when len(w) = 0 then [] when len(w) < {WORDS} then [array_to_string(w, ' ')] else list_distinct(list_transform(range(1, len(w) - {WORDS - 2}), lambda i: array_to_string(w[i:i + {WORDS - 1}], ' '))) end as s from w),
+e as (select doc_id, len(s) as n, unnest(s) as g from s),
+links as (select a.doc_id as x, b.doc_id as y from e a join e b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2 having 100 * count(*) >= {PERCENT} * (any_value(a.n) + any_value(b.n) - count(*))),
+both_ways as (select x, y from links union select y, x from links),
+reach(doc_id, y) as (select doc_id, doc_id from documents where doc_id is not null union select reach.doc_id, both_ways.y from reach join both_ways on reach.y = both_ways.x)
+select s.doc_id, cast(len(s.s) as bigint) as n_shingles, r.c as component_id from s left join (select doc_id, min(y) as c from reach group by 1) r using (doc_id)
+"""
