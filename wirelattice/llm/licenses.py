@@ -110,3 +110,15 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents against all templates."""
     return scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def op7_sql() -> str:
+    """Templates whose shingles a text holds to 0.8 or more; equal to the scan where a notice stands in one place."""
+    values = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in TEMPLATES.items())
+    cut = lambda c: f"string_split(trim(regexp_replace(lower({c}), '[^a-z0-9]+', ' ', 'g')), ' ')"
+    grams = f"list_distinct(list_transform(range(1, greatest(len(w) - {WORDS - 2}, 1)), lambda i: array_to_string(w[i:i + {WORDS - 1}], ' ')))"
+    return f"""
+with k(license, text) as (values {values}), t as (select license, unnest({grams}) as g from (select license, {cut('text')} as w from k)), n as (select license, count(*) as parts from t group by 1),
+d as (select doc_id, unnest({grams}) as g from (select doc_id, {cut("coalesce(text, '')")} as w from documents))
+select doc_id, license, round(count(*) / any_value(parts), 6) as containment from d join t using (g) join n using (license) group by 1, 2 having count(*) >= {CONTAINED} * any_value(parts)
+"""

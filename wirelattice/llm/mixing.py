@@ -24,6 +24,8 @@ from wirelattice.sources.staging import materialise
 
 #: Rows that meet in one node of the tree, the highest multiple of a source's size, the weights, the seed.
 CHUNK, MOST, WEIGHTS, SEED = 256, 3, 3, 20_260
+#: Decisions up to this number are broadcast (some 40 bytes each); beyond it the join is left to shuffle.
+BROADCAST_ROWS = 2_000_000
 
 
 def targets(sizes: DataFrame) -> DataFrame:
@@ -95,6 +97,28 @@ def copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return out, by
 
 
+def mix_documents(docs: DataFrame) -> DataFrame:
+    """The rows, with all their columns, as often as the mix takes them.
+
+    Decisions are joined by doc_id, size and source. Rows that agree in all three share their decisions in the order of their text.
+    """
+    key = ["doc_id", "size", "source"]
+    decided = copies(docs)[0].groupBy(*key).agg(F.sum("copies").cast("int").alias("copies"), F.count("*").cast("int").alias("k"))
+    decided = materialise(decided, "mix-copies")
+    other = decided.select(*(F.col(c).alias(f"of_{c}") for c in key), "copies", "k")
+    if decided.count() <= BROADCAST_ROWS:
+        other = F.broadcast(other)
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.size(words(F.col("text"))).cast("long").alias("size"), "source")
+    same = [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in key]
+    met = rows.join(other, same[0] & same[1] & same[2]).select("row", *key, "copies", "k")
+    out = met.where("k = 1").select("row", "copies")
+    if not decided.where("k > 1").isEmpty():
+        i = F.row_number().over(Window.partitionBy(*key).orderBy(F.col("row.text")))
+        share = F.floor(F.col("copies") * F.col("i") / F.col("k")) - F.floor(F.col("copies") * (F.col("i") - 1) / F.col("k"))
+        out = out.unionByName(met.where("k > 1").withColumn("i", i).select("row", share.cast("int").alias("copies")))
+    return out.withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select("row.*")
+
+
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, with the words that the mix takes of each."""
     decided, by = copies(spark.read.parquet(f"{sf_dir}/documents.parquet"))

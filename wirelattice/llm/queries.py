@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from wirelattice.llm.ann import op8_ann
 from wirelattice.llm.bpe import op3_bpe
-from wirelattice.llm.chat import op9_chat_formatting
+from wirelattice.llm.chat import OP9_SQL, op9_chat_formatting
 from wirelattice.llm.classifier import op4_quality_classifier
-from wirelattice.llm.jaccard import op5_jaccard_join
-from wirelattice.llm.licenses import op7_license_scan
+from wirelattice.llm.jaccard import OP5_SQL, op5_jaccard_join
+from wirelattice.llm.licenses import op7_license_scan, op7_sql
 from wirelattice.llm.mixing import op2_source_mixing
 from wirelattice.llm.pii import op6_pii
 from wirelattice.llm.quality import op1_quality_rules
@@ -30,4 +30,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_warc": op10_warc,
 }
 
-ORACLE_SQL: dict[str, str] = {"op10_warc": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op5_jaccard_join": OP5_SQL, "op7_license_scan": op7_sql(), "op9_chat_formatting": OP9_SQL, "op10_warc": OP10_SQL}

@@ -14,7 +14,7 @@ import pyarrow as pa
 
 U = np.uint64
 #: Bytes of text that are hashed at once, and places of a word whose factors are tabled.
-BLOCK_BYTES, PLACES = 2_000_000, 4096
+BLOCK_BYTES, PLACES = 500_000, 4096
 
 
 def mix(x: np.ndarray) -> np.ndarray:
