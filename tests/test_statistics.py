@@ -87,3 +87,21 @@ def test_baselines_and_scores(spark):
     assert scored.where("Label = 'HTTP_Flood'").agg(F.avg(F.col("outlier").cast("int"))).first()[0] > 0.5
     drop = ex.performance_drop(spark.createDataFrame([("x", 0.934, 0.874)], "c string, base double, f1 double")).first()
     assert round(drop["performance_drop"], 2) == 6.42 and drop["importance"] == "critical"
+
+
+def test_loader_and_comparison(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    r = random.Random(8)
+    lines = [" a , b , Flow ID, Label"] + [f"{r.gauss(k, 1):.4f},{r.gauss(-k, 1):.4f},{i},{'Attack' if k else 'Benign'}" for i in range(300) for k in [(i % 3 == 0) * 4]]
+    (tmp_path / "in" / "x.csv").write_text("\n".join(lines))
+    df = ex.load_dataset(spark, str(tmp_path / "in"), str(tmp_path / "cache"), {"seed": 3})
+    assert "Flow ID" not in df.columns and {r["split"] for r in df.select("split").distinct().collect()} == {"train", "validation", "test"}
+    from pyspark.ml.classification import RandomForestClassifier
+
+    train, test = df.where("split = 'train'"), df.where("split = 'test'")
+    out = ex.compare_models(train, test, ["a", "b"], "label_id", {"forest": RandomForestClassifier(numTrees=5, seed=1), "broken": RandomForestClassifier(featuresCol="missing")})
+    assert out[0]["auc"] > 0.95 and out[0]["accuracy"] > 0.9 and "error" in out[1]
+    assert ex.feature_importance(train, ["a", "b"], "label_id").count() == 2
+    wide = spark.createDataFrame([("m", 0.9, 0.2)], "method string, f1 double, fpr double")
+    assert {(r["metric"], round(r["value"], 6)) for r in st.radar(wide).collect()} == {("f1", 0.9), ("1 - fpr", 0.8)}
+    assert [r[0] for r in spark.createDataFrame([(0.0001,), (0.005,), (0.03,), (0.2,)], "p double").select(st.stars(F.col("p"))).collect()] == ["***", "**", "*", "ns"]

@@ -59,3 +59,10 @@ def status(nodes: DataFrame, edges: DataFrame, requests: DataFrame, anomalies: D
     for df, name in ((nodes, "nodes"), (edges, "edges"), (anomalies, "anomalies")):
         out = out.select("*", n(df, name).scalar().alias(name))
     return out
+
+
+def response_payload(alerts: DataFrame, coordinated: DataFrame, endpoint_status: DataFrame) -> DataFrame:
+    """What a detection hands on: one JSON row of alerts, coordinated attacks and the endpoint under attack; none without alerts."""
+    pack = lambda df, name: df.select(F.to_json(F.struct("*")).alias("j")).agg(F.array_sort(F.collect_list("j")).alias(name))
+    out = pack(alerts, "alerts").select("*", pack(coordinated, "coordinated").scalar().alias("coordinated"), pack(endpoint_status, "endpoint_status").scalar().alias("endpoint_status"))
+    return out.where(F.size("alerts") > 0).select(F.to_json(F.struct("*")).alias("payload"))

@@ -138,3 +138,28 @@ def cache_busting(http: DataFrame, limits: Limits = Limits()) -> DataFrame:
     query = F.coalesce(F.parse_url(F.concat(F.lit("http://h"), "path"), F.lit("QUERY")), F.lit(""))
     g = http.withColumn("e", char_entropy(query)).groupBy("token").agg(F.count_if(F.col("e") > limits.entropy).alias("random"), F.avg((F.col("cache_status") == "HIT").cast("int")).alias("hit_rate"))
     return g.where((F.col("random") > limits.cache_miss) & (F.col("hit_rate") < 0.5))
+
+
+def identity_edges(http: DataFrame) -> DataFrame:
+    """(src, dst, rel): sessions and the identities, fingerprints and prefixes that they show."""
+    kinds = {"token": F.col("token"), "fingerprint": F.col("tls_fingerprint"), "prefix": ip_prefix(F.col("src_ip"))}
+    pairs = F.array(*(F.struct(F.lit(k).alias("kind"), c.alias("value")) for k, c in kinds.items()))
+    rows = http.where("session_id <> ''").select("session_id", F.explode(pairs).alias("p")).where("p.value is not null and p.value <> ''").distinct()
+    return rows.select(F.concat(F.lit("session:"), "session_id").alias("src"), F.concat(F.col("p.kind"), F.lit(":"), F.col("p.value")).alias("dst"), F.lit("hasIdentity").alias("rel"))
+
+
+def target_edges(http: DataFrame) -> DataFrame:
+    """(src, dst, rel, endpoint_class): the endpoints that sessions ask."""
+    rows = http.where("session_id <> ''").select("session_id", "endpoint").distinct()
+    return rows.select(F.concat(F.lit("session:"), "session_id").alias("src"), F.concat(F.lit("endpoint:"), "endpoint").alias("dst"), F.lit("targets").alias("rel"), endpoint_class(F.col("endpoint")).alias("endpoint_class"))
+
+
+def behaviour_by_entropy(http: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """(session_id, route_entropy, behaviour): little variety of routes is a bot's."""
+    return route_entropy(http).withColumn("behaviour", F.when(F.col("route_entropy") < limits.route_entropy, "BotBehavior").otherwise("UserBehavior"))
+
+
+def in_window(events: DataFrame, as_of, seconds: int = 300) -> DataFrame:
+    """The events of the operational window that ends at ``as_of``; what is older is purged."""
+    at = F.lit(as_of).cast("timestamp")
+    return events.where((F.col("ts") <= at) & (F.col("ts") > at - F.make_dt_interval(secs=F.lit(seconds))))

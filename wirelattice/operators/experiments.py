@@ -192,3 +192,84 @@ def latex_table(df: DataFrame, columns: list[str], order: str) -> DataFrame:
     rows = df.select((F.row_number().over(Window.orderBy(F.col(order).desc(), columns[0])) + 1).alias("seq"), F.concat(F.concat_ws(" & ", *cells), F.lit(" \\\\")).alias("line"))
     fixed = df.sparkSession.createDataFrame([(0, "\\begin{tabular}{" + "l" * len(columns) + "}"), (1, names + " \\\\ \\hline"), (1_000_000, "\\end{tabular}")], "seq int, line string")
     return fixed.unionByName(rows)
+
+
+def load_dataset(spark, folder: str, cache: str, config: dict) -> DataFrame:
+    """Scan, preprocess, index labels, split and scale by the training rows; kept under a path of the whole configuration.
+
+    config: missing, labels, features, train, validation, seed (all optional).
+    """
+    from wirelattice.sources.files import cached, numeric_features, read_flows
+
+    def build() -> DataFrame:
+        raw = read_flows(spark, folder, keep=config.get("labels"))
+        df = label_index(numeric_features(preprocess(raw, config.get("missing", "mean")), config.get("features"), exclude=EXCLUDED))
+        keyed = df.withColumn("row_key", F.xxhash64(*df.columns))
+        parts = stratified_split(keyed, "row_key", "Label", config.get("train", 0.7), config.get("validation", 0.15), config.get("seed", 42))
+        columns = numeric(parts, "label_id", "row_key")
+        return standardise(parts, columns, F.col("split") == "train")
+
+    return cached(spark, {"folder": folder, **config}, cache, build)
+
+
+#: Identifier columns of flow files that are no features.
+EXCLUDED = ("Flow ID", "Source IP", "Destination IP", "Timestamp", "Source Port", "Destination Port", "Protocol", "Fwd Header Length.1", "Unnamed: 0")
+
+
+def compare_models(train: DataFrame, test: DataFrame, columns: list[str], label: str, models: dict | None = None) -> list[dict]:
+    """Metrics and seconds of each model; one that fails is reported with its error and does not stop the others."""
+    import time
+
+    from wirelattice.operators.statistics import auc, classification_metrics
+
+    out = []
+    for name, model in (models or baselines()).items():
+        start = time.time()
+        try:
+            got = fit_and_predict(train, test, columns, label, model).withColumn("prediction", F.col("prediction").cast("int")).persist()
+            row = classification_metrics(got, label, "prediction").first().asDict()
+            if "score" in got.columns:
+                row["auc"] = auc(got, label, "score").first()["auc"]
+            got.unpersist()
+        except Exception as e:  # noqa: BLE001  a comparison goes on without a model that can't be fitted
+            row = {"error": str(e)[:200]}
+        out.append({"model": name, "seconds": round(time.time() - start, 3), **row})
+    return out
+
+
+def feature_importance(train: DataFrame, columns: list[str], label: str, seed: int = 42) -> DataFrame:
+    """(feature, importance) of a random forest, most important first."""
+    x = VectorAssembler(inputCols=columns, outputCol="features").transform(train)
+    model = RandomForestClassifier(numTrees=20, labelCol=label, seed=seed).fit(x)
+    rows = [(c, float(v)) for c, v in zip(columns, model.featureImportances.toArray(), strict=True)]
+    return train.sparkSession.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature")
+
+
+def save_model(model, path: str) -> None:
+    model.write().overwrite().save(path)
+
+
+def load_model(path: str):
+    from pyspark.ml import PipelineModel
+
+    return PipelineModel.load(path)
+
+
+#: Parts of the ontology and the rules that need them.
+COMPONENTS = {
+    "http": ["login_flood", "http_flood", "expensive_endpoint_burst", "latency_increase", "slow_request", "api_abuse"],
+    "dns": ["qname_randomization", "qname_randomization_domain", "nxdomain_flood", "nxdomain_flood_domain", "dns_water_torture", "dns_amplification", "dns_amplification_any", "phantom_domain", "dns_tunneling"],
+    "session": ["login_flood", "http_flood", "low_session_value", "repetitive_route", "scraping"],
+    "behaviour": ["bot_behavior", "scraping"],
+}
+
+
+def ontology_ablation(frames: Frames, thresholds: Thresholds = CODE) -> DataFrame:
+    """(component, anomalies, endpoints): what is left to detect without each part of the ontology."""
+    found = detect(frames, thresholds).groupBy("rule", "target_endpoint").agg(F.count("*").alias("n"))
+    out = None
+    for name, gone in {"full": [], **COMPONENTS}.items():
+        left = found.where(~F.col("rule").isin(gone)) if gone else found
+        row = left.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("anomalies"), F.countDistinct(F.when(F.col("target_endpoint") != "", F.col("target_endpoint"))).alias("endpoints")).select(F.lit(name).alias("component"), "anomalies", "endpoints")
+        out = row if out is None else out.unionByName(row)
+    return out

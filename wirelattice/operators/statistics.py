@@ -177,3 +177,22 @@ def report(scores: DataFrame) -> str:
         lines.append(f"ANOVA F = {x['f']:.4f}, p = {x['p']:.4g}, eta squared = {x['eta_squared']:.4f}")
         lines += [f"{y['a']} vs {y['b']}: p = {y['adjusted']:.4g}" for y in post_hoc(scores)]
     return "\n".join(lines)
+
+
+def precision_recall_points(df: DataFrame, truth: str, score: str) -> DataFrame:
+    """(threshold, precision, recall) by falling score."""
+    per = df.groupBy(F.col(score).alias("threshold")).agg(F.count_if(F.col(truth) > 0).alias("p"), F.count("*").alias("n"))
+    w = Window.orderBy(F.col("threshold").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    return per.select("threshold", (F.sum("p").over(w) / F.sum("n").over(w)).alias("precision"), (F.sum("p").over(w) / F.sum("p").over(Window.partitionBy())).alias("recall"))
+
+
+def radar(metrics: DataFrame) -> DataFrame:
+    """(method, metric, value) of a wide table of metrics, with the false-positive rate turned round."""
+    names = [c for c in metrics.columns if c != "method"]
+    pairs = F.array(*(F.struct(F.lit("1 - fpr" if c == "fpr" else c).alias("metric"), (1 - F.col(c) if c == "fpr" else F.col(c)).cast("double").alias("value")) for c in names))
+    return metrics.select("method", F.explode(pairs).alias("x")).select("method", "x.metric", "x.value")
+
+
+def stars(p):
+    """The usual marks of significance."""
+    return F.when(p < 0.001, "***").when(p < 0.01, "**").when(p < 0.05, "*").otherwise("ns")

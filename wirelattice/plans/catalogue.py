@@ -420,10 +420,10 @@ def attack_components(spark, sf_dir):
     return correlate.attack_components(anomalies(spark, sf_dir))
 
 
-@query(f"with {HTTP}, {NODES}, {EDGES} select (select count(*) from http) as requests, (select count(*) from nodes) as nodes, (select count(*) from edges) as edges, 0::bigint as anomalies")
+@query(f"{FOUND}, {NODES}, {EDGES} select (select count(*) from http) as requests, (select count(*) from nodes) as nodes, (select count(*) from edges) as edges, (select count(*) from found) as anomalies")
 def engine_status(spark, sf_dir):
     f = frames(spark, sf_dir)
-    return correlate.status(graph.http_nodes(f.http), graph.http_edges(f.http), f.http, rules.detect(f, TABLES, ["login_flood"]).limit(0))
+    return correlate.status(graph.http_nodes(f.http), graph.http_edges(f.http), f.http, rules.detect(f, TABLES))
 
 
 # --- cross-session and cross-surface -------------------------------------------------------------------------
@@ -643,3 +643,59 @@ def rule_ablation(spark, sf_dir):
 def roc_points(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumn("t", (F.col("event_type") == "error").cast("int"))
     return statistics.roc_points(e.withColumn("value", F.round("value", 0)), "t", "value")
+
+
+@query()
+def rule_ablation_by_ontology(spark, sf_dir):
+    return experiments.ontology_ablation(frames(spark, sf_dir), TABLES)
+
+
+@query(f"with {HTTP}, v as (select session_id, unnest(['token:' || token, 'fingerprint:' || tls_fingerprint, 'prefix:' || regexp_extract(src_ip, '^([^.]*[.][^.]*[.][^.]*)', 1)]) as dst from http) select distinct 'session:' || session_id as src, dst, 'hasIdentity' as rel from v")
+def identity_edges(spark, sf_dir):
+    return crosssession.identity_edges(ev.http_requests(spark, sf_dir))
+
+
+@query(f"with {HTTP} select distinct 'session:' || session_id as src, 'endpoint:' || endpoint as dst, 'targets' as rel, case endpoint when '/login' then 'Auth' when '/api/items' then 'API' when '/graphql' then 'API' else 'Static' end as endpoint_class from http")
+def target_edges(spark, sf_dir):
+    return crosssession.target_edges(ev.http_requests(spark, sf_dir))
+
+
+@query(f"with {HTTP}, n as (select session_id, endpoint, count(*) as k from http group by 1, 2), h as (select session_id, log2(sum(k)) - sum(k * log2(k)) / sum(k) as h from n group by 1) select session_id, round(h, 6) as route_entropy, case when h < 2.25 then 'BotBehavior' else 'UserBehavior' end as behaviour from h")
+def behaviour_by_entropy(spark, sf_dir):
+    return crosssession.behaviour_by_entropy(ev.http_requests(spark, sf_dir), replace(LIMITS, route_entropy=2.25))
+
+
+@query(f"with {HTTP} select request_id from http where ts <= timestamp '2024-01-10 00:00:00' and ts > timestamp '2024-01-10 00:00:00' - interval 1 day")
+def window_purge(spark, sf_dir):
+    return crosssession.in_window(ev.http_requests(spark, sf_dir), "2024-01-10 00:00:00", 86_400).select("request_id")
+
+
+@query("with r as (select round(value, 0) as threshold, count(*) filter (event_type = 'error') as p, count(*) as n from events group by 1) select threshold, round(sum(p) over (order by threshold desc) / sum(n) over (order by threshold desc), 6) as precision, round(sum(p) over (order by threshold desc) / sum(p) over (), 6) as recall from r")
+def precision_recall_points(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("t", (F.col("event_type") == "error").cast("int")).withColumn("value", F.round("value", 0))
+    return statistics.precision_recall_points(e, "t", "value")
+
+
+@query()
+def response_payload(spark, sf_dir):
+    a = anomalies(spark, sf_dir).where("severity = 'high'")
+    return correlate.response_payload(a.select(*PLAIN), correlate.coordinated_attacks(a, 1e12), semantic.endpoint_under_attack(a))
+
+
+@query()
+def feature_importance(spark, sf_dir):
+    s = frames(spark, sf_dir).session.withColumn("label", (F.col("failed_logins") > 12).cast("int")).na.fill(0)
+    return experiments.feature_importance(s, ["request_count", "navigation_diversity", "avg_response_time_ms", "response_time_std", "error_count"], "label")
+
+
+@query()
+def session_clusters(spark, sf_dir):
+    s = frames(spark, sf_dir).session
+    return experiments.session_clusters(s, ["request_count", "error_count"], 2).groupBy("prediction").agg(F.count("*").alias("sessions"))
+
+
+@query()
+def session_outliers(spark, sf_dir):
+    cols = ["request_count", "navigation_diversity", "avg_response_time_ms", "response_time_std", "error_count"]
+    s = experiments.standardise(frames(spark, sf_dir).session.select("session_id", *cols), cols)
+    return experiments.reconstruction_scores(s, cols, F.lit(True), k=3).select("session_id", "mse", "outlier")
