@@ -156,7 +156,7 @@ def base_domain_subdomain(spark, sf_dir):
     return ev.dns_queries(spark, sf_dir).select("query_id", base_domain(F.col("qname")).alias("base_domain"), sub.alias("subdomain"), is_random_label(sub).alias("is_random"))
 
 
-@query(f"with {HTTP} select endpoint as path, 0.5 as computational_cost, arg_min(method, ts) = 'GET' as is_cacheable from http group by 1")
+@query(f"with {HTTP} select endpoint as path, 0.5::double as computational_cost, arg_min(method, ts) = 'GET' as is_cacheable from http group by 1")
 def auto_endpoints(spark, sf_dir):
     return ev.with_auto_endpoints(ev.endpoints(spark).limit(0), ev.http_requests(spark, sf_dir)).select("path", "computational_cost", "is_cacheable")
 
@@ -174,7 +174,7 @@ _SEV = "case when score > 0.7 then 'high' else 'medium' end"
 
 def _rule(name: str, subject: str, score: str, confidence: float, measure: str, source: str, where: str, target: str = "''", severity: str = "'medium'") -> str:
     return (
-        f"select '{name}' as rule, subject_id, round(score, 6) as score, {confidence} as confidence, {severity} as severity, target_endpoint, round(measure, 6) as measure from "
+        f"select '{name}' as rule, subject_id, round(score, 6) as score, cast({confidence} as double) as confidence, {severity} as severity, target_endpoint, round(measure, 6) as measure from "
         f"(select cast({subject} as varchar) as subject_id, cast({score} as double) as score, cast({measure} as double) as measure, {target} as target_endpoint from {source} where {where})"
     )
 
@@ -342,7 +342,7 @@ _KIND = "case rule " + " ".join(f"when '{k}' then '{v}'" for k, v in _ATTACK.ite
 
 @query(
     f"{FOUND}, g as (select target_endpoint, count(*) as n, sum(w) as w, min(list_position([{', '.join(repr(r) for r in rules.RULES)}], rule)) as seq from weighed where target_endpoint <> '' group by 1 order by n * sum(w) desc, seq, target_endpoint limit 1) "
-    "select 'attack_detected' as status, target_endpoint as endpoint, n as anomaly_count, cast(w as bigint) as severity_sum, round(least(1.0, 0.2 * n), 6) as confidence from g"
+    "select 'attack_detected' as status, target_endpoint as endpoint, n as anomaly_count, cast(w as bigint) as severity_sum, round(least(1.0, 0.2 * n)::double, 6) as confidence from g"
 )
 def endpoint_under_attack(spark, sf_dir):
     return semantic.endpoint_under_attack(anomalies(spark, sf_dir))
@@ -398,14 +398,14 @@ def stix_indicators(spark, sf_dir):
 
 
 @query(
-    f"{FOUND} select target_endpoint, count(*) as anomaly_count, array_to_string(list_sort(list(distinct {_KIND})), ',') as attack_types, round(least(1.0, 0.2 * count(*)), 6) as confidence, case when count(*) > 5 then 'critical' else 'high' end as severity "
+    f"{FOUND} select target_endpoint, count(*) as anomaly_count, array_to_string(list_sort(list(distinct {_KIND})), ',') as attack_types, round(least(1.0, 0.2 * count(*))::double, 6) as confidence, case when count(*) > 5 then 'critical' else 'high' end as severity "
     "from found where target_endpoint <> '' group by 1 having count(*) >= 2"
 )
 def coordinated_attacks(spark, sf_dir):
     return correlate.coordinated_attacks(anomalies(spark, sf_dir), 1e12).drop("sessions")
 
 
-@query(f"{FOUND} select count(distinct target_endpoint) filter (target_endpoint <> '') as endpoints, count(*) as anomaly_count, 1.0 as confidence, 'critical' as severity from found")
+@query(f"{FOUND} select count(distinct target_endpoint) filter (target_endpoint <> '') as endpoints, count(*) as anomaly_count, 1.0::double as confidence, 'critical' as severity from found")
 def multi_vector(spark, sf_dir):
     return correlate.multi_vector(anomalies(spark, sf_dir), 1e12)
 
