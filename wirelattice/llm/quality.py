@@ -98,8 +98,11 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> D
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows, with all their columns, that the rules keep."""
-    return judge(docs, labels).where("kept").select("row.*")
+    """The rows, with all their columns, that the rules keep.
+
+    A generator instead of a filter: a filter would be pushed below the hashes and compute them several times.
+    """
+    return judge(docs, labels).select(F.explode(F.when(F.col("kept"), F.array("row"))).alias("row")).select("row.*")
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
