@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from wirelattice.llm.shingles import U, mix, shingle_sets
 from wirelattice.operators.components import connected_components
-from wirelattice.sources.staging import deploy, materialise
+from wirelattice.sources.staging import deploy, discard, materialise
 
 #: Words of a shingle; the least similarity in hundredths.
 WORDS, PERCENT = 4, 85
@@ -50,7 +50,7 @@ SKETCH = 256
 #: Rows of which cell keys are sent on once.
 TOGETHER = 2500
 #: Pivots that a cell takes in a round, members outside the main component up to which a cell is settled at once (SMALL <= PIVOTS), ids that are broadcast at most (8 bytes each).
-PIVOTS, SMALL, BROADCAST_IDS = 512, 8, 2_000_000
+PIVOTS, SMALL, BROADCAST_IDS = 512, 4, 2_000_000
 
 
 class Rings:
@@ -216,12 +216,15 @@ def components(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> D
     met = met.unionByName(known.select(F.explode("shared").alias("cell"), "doc_id"))
     region = met.join(member.select("doc_id", F.col("class").alias("x")), "doc_id").groupBy("cell", "x").agg(F.lit(1).alias("_")).drop("_")
     region = materialise(region, "jaccard-cells")
+    sizes = materialise(feats.select("doc_id", "n"), "jaccard-sizes")
+    shared_ids = known.count() > member.count()
+    discard(feats)  # its keys are the largest table of the join and no longer needed
 
     first = region.groupBy("cell").agg(F.min("x").alias("p"), F.max("x").alias("high")).where("p <> high").drop("high")
     region = materialise(region.join(first, "cell"), "jaccard-regions")
     ids = region.select(F.col("x").alias("id")).distinct()
     sets = materialise(sets_of(docs, ids, words), "jaccard-sets")
-    if known.count() > member.count():  # some rows share a doc_id
+    if shared_ids:
         sets = materialise(sets.groupBy("id").agg(F.max(F.struct("items", "sketch")).alias("s")).select("id", "s.items", "s.sketch"), "jaccard-sets")
 
     pairs = region.where("x <> p").select("x", "p").distinct()
@@ -263,7 +266,7 @@ def components(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> D
         more = named.where(F.col("others") > PIVOTS)
         left = more.join(pivots.select("cell", F.col("p_x").alias("x")), ["cell", "x"], "left_anti").select("cell", "x", "n", "rank")
     final = member.join(labels.select(F.col("node").alias("class"), "component"), "class", "left").select("doc_id", F.coalesce("component", "class").alias("component"))
-    out = feats.select("doc_id", F.col("n").cast("long").alias("n_shingles")).join(final, "doc_id", "left")
+    out = sizes.select("doc_id", F.col("n").cast("long").alias("n_shingles")).join(final, "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
