@@ -37,7 +37,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document of the mix, with their digests."""
-    return encode_documents(docs, default_file(), with_ids=True).drop("decoded")
+    return encode_documents(docs, default_file(), with_ids=True)
 
 
 STAGES = [("quality rules", quality), ("near duplicates", near_duplicates), ("personal data", personal_data), ("source mixing", mix), ("bpe encoding", encode)]

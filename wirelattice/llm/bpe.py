@@ -22,10 +22,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
+from wirelattice.llm.memory import trim
 from wirelattice.sources.staging import deploy
 
 #: Characters of text that are encoded together; words kept between blocks of a task's texts.
-BLOCK_CHARS, KEPT_WORDS = 8_000_000, 500_000
+BLOCK_CHARS, KEPT_WORDS = 5_000_000, 300_000
 
 
 def byte_symbols() -> list[str]:
@@ -187,28 +188,30 @@ def encoder(file: str) -> WordBPE:
 
 
 def encode_documents(docs: DataFrame, file: str, with_ids: bool = False) -> DataFrame:
-    """Per row: doc_id, n_tokens, ids_sha256, decoded_sha256; with_ids adds ``ids`` (packed) and ``decoded``."""
+    """Per row: doc_id, n_tokens, ids_sha256, decoded_sha256; with_ids adds ``ids`` (packed)."""
     deploy(docs.sparkSession)
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary, decoded string" * with_ids
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(file)
         for batch in batches:
-            n, ids, back, raw, text = [], [], [], [], []
+            low = 0
             for block in blocks(batch.column(1).to_pylist()):
+                n, ids, back, raw = [], [], [], []
                 for packed in bpe.encode(block):
-                    decoded = bpe.decode(packed)
                     n.append(len(packed) // 4)
                     ids.append(hashlib.sha256(packed).hexdigest())
-                    back.append(hashlib.sha256(decoded.encode()).hexdigest())
+                    back.append(hashlib.sha256(bpe.decode(packed).encode()).hexdigest())
                     if with_ids:
                         raw.append(packed)
-                        text.append(decoded)
-            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())]
-            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            if with_ids:
-                columns, names = [*columns, pa.array(raw, pa.binary()), pa.array(text, pa.string())], [*names, "ids", "decoded"]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+                columns = [batch.column(0).slice(low, len(n)), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())]
+                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+                if with_ids:
+                    columns, names = [*columns, pa.array(raw, pa.binary())], [*names, "ids"]
+                low += len(n)
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+        bpe.known = {}  # the worker may live on for other work
+        trim()
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, schema)
 

@@ -37,6 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from wirelattice.llm.memory import trim
 from wirelattice.llm.shingles import U, mix, shingle_sets
 from wirelattice.operators.components import connected_components
 from wirelattice.sources.staging import deploy, discard, materialise
@@ -105,6 +106,7 @@ def features(docs: DataFrame, percent: int, words: int) -> DataFrame:
         for batch in batches:
             for low in range(0, batch.num_rows, TOGETHER):
                 yield _keys(batch.slice(low, TOGETHER), rings, words)
+        trim()
 
     whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     return whole.mapInArrow(run, schema)
@@ -152,6 +154,7 @@ def sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
                 flat = np.concatenate(items).view(np.int64) if items else np.zeros(0, np.int64)
                 lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64())), pa.ListArray.from_arrays(pa.array(np.arange(len(items) + 1) * SKETCH, pa.int32()), pa.array(sketch.ravel(), pa.int8()))]
                 yield pa.RecordBatch.from_arrays([part.column(0), *lists], names=["id", "items", "sketch"])
+        trim()
 
     whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     return few(whole.withColumnRenamed("doc_id", "id"), ids).mapInArrow(run, "id long, items array<long>, sketch array<tinyint>")

@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from wirelattice.llm.memory import trim
 from wirelattice.sources.staging import deploy
 
 KINDS = ("email", "ip", "card", "phone")
@@ -390,7 +391,7 @@ def masked(text: str, spans: list[Span]) -> str:
 
 
 #: Texts that are read together, as characters.
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 2_000_000
 
 
 def _blocks(texts: list[str | None]) -> Iterator[list[str]]:
@@ -423,6 +424,7 @@ def detect(docs: DataFrame) -> DataFrame:
                     added.append(len(every) - len(base))
             columns = [batch.column(0), *(pa.array(counts[k], pa.int64()) for k in KINDS), pa.array(marks, pa.string()), pa.array(spans, pa.string()), pa.array(added, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"])
+        trim()
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, schema)
 
@@ -444,6 +446,7 @@ def mask_documents(docs: DataFrame) -> DataFrame:
                 k = names.index("n_chars")
                 columns[k] = pa.array([n if t is None else len(m) for n, t, m in zip(columns[k].to_pylist(), texts, out, strict=True)], batch.schema.field(k).type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+        trim()
 
     return docs.mapInArrow(run, docs.schema)
 
