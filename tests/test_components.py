@@ -31,3 +31,11 @@ def test_against_union_find(spark, edges):
 def test_null_ends_are_left_out(spark):
     df = spark.createDataFrame([(1, None), (2, 1)], "src long, dst long")
     assert connected_components(df).count() == 2
+
+
+@pytest.mark.parametrize("edges", [
+    [(i, i + 1) for i in range(600)], [(i, i + d) for i in range(500) for d in (1, 2, 3)], [(i, i + d) for i in range(1000) for d in range(1, 6)],
+], ids=["path", "next 3", "next 5"])
+def test_long_ascending_chains(spark, edges):
+    df = spark.createDataFrame(edges, "src long, dst long")
+    assert {r["node"]: r["component"] for r in connected_components(df).collect()} == union_find(edges)
