@@ -1,8 +1,8 @@
 """Cross-session and cross-surface reasoning.
 
 Sessions are related if they share a signal (identity token, TLS fingerprint, address prefix) within a window. Relations are kept as stars around signals, not as pairs,
-and components are found on the bipartite graph, so a signal that a third of all sessions share costs one edge per session. Signals that more sessions
-share than ``popular`` say nothing about a campaign and are left out by name.
+and components are found on the bipartite graph, so a signal that a third of all sessions share costs one edge per session.
+However many sessions share a signal, all of them are related.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ class Limits:
     """Calibration parameters: the drafts leave them open, these are our defaults."""
 
     window_s: int = 300
-    popular: int = 10_000
+    popular: int = 10_000  # a bound in the checking SQL only; the operators relate every sharing session
     fail_ratio: float = 0.5
     rate: float = 10.0
     api_rate: float = 5.0
@@ -45,7 +45,7 @@ def signals(http: DataFrame, limits: Limits = Limits()) -> DataFrame:
 def related_stars(http: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """(hub, session_id): sessions around the smallest session of each signal and window that two or more share."""
     s = signals(http, limits)
-    hubs = s.groupBy("kind", "value", "window").agg(F.min("session_id").alias("hub"), F.count("*").alias("k")).where((F.col("k") >= 2) & (F.col("k") <= limits.popular))
+    hubs = s.groupBy("kind", "value", "window").agg(F.min("session_id").alias("hub"), F.count("*").alias("k")).where("k >= 2")
     return s.join(hubs, ["kind", "value", "window"]).where("session_id <> hub").select("hub", "session_id").distinct()
 
 
