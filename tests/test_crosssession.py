@@ -5,3 +5,11 @@ def test_a_signal_of_many_sessions_relates_them_all(spark):
     http = spark.range(10_001).selectExpr("concat('s', id) session_id", "concat('t', id) token", "'f' tls_fingerprint", "cast(null as string) src_ip", "timestamp'2024-01-01' ts")
     stars = crosssession.related_stars(http)
     assert stars.count() == 10_000 and stars.select("hub").distinct().count() == 1
+
+
+def test_api_abuse_counts_all_tokens_of_a_session(spark):
+    rows = [("s1", "a"), ("s1", "b"), ("s2", "a"), ("s2", "c")]
+    http = spark.createDataFrame(rows, "session_id string, token string").selectExpr("*", "'/graphql' endpoint", "200 response_code", "timestamp'2024-01-01' ts")
+    members = spark.createDataFrame([("s1", "k"), ("s2", "k")], "session_id string, campaign string")
+    found = crosssession.coordinated_api_abuse(http, members, crosssession.Limits(api_rate=0.5, quota=10.0)).collect()
+    assert [(r["sessions"], r["tokens"], r["requests"]) for r in found] == [(2, 3, 4)]

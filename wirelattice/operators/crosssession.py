@@ -60,12 +60,18 @@ def campaigns(http: DataFrame, limits: Limits = Limits()) -> DataFrame:
 
 def _by_campaign(http: DataFrame, members: DataFrame) -> DataFrame:
     """Per campaign and endpoint, from per-session partial sums."""
-    part = http.groupBy("session_id", "endpoint").agg(F.count("*").alias("n"), F.count_if(F.col("response_code").isin(401, 403)).alias("failed"), F.min("ts").alias("first"), F.max("ts").alias("last"), F.min("token").alias("token"))
+    part = http.groupBy("session_id", "endpoint").agg(F.count("*").alias("n"), F.count_if(F.col("response_code").isin(401, 403)).alias("failed"), F.min("ts").alias("first"), F.max("ts").alias("last"))
     return part.join(members, "session_id").groupBy("campaign", "endpoint").agg(
-        F.count("*").alias("sessions"), F.sum("n").alias("requests"), F.sum("failed").alias("failed"), F.countDistinct("token").alias("tokens"), F.min("first").alias("first"), F.max("last").alias("last"), F.max("n").alias("most"),
+        F.count("*").alias("sessions"), F.sum("n").alias("requests"), F.sum("failed").alias("failed"), F.min("first").alias("first"), F.max("last").alias("last"), F.max("n").alias("most"),
     )
 
 
+def _tokens(http: DataFrame, members: DataFrame) -> DataFrame:
+    """Per campaign and endpoint the number of distinct tokens, over all tokens of each session."""
+    seen = http.select("session_id", "endpoint", "token").distinct().join(members, "session_id")
+    return seen.groupBy(F.col("campaign").alias("c"), F.col("endpoint").alias("e")).agg(F.countDistinct("token").alias("tokens"))
+
+
 def _span():
     return F.greatest((F.unix_micros("last") - F.unix_micros("first")) / 1e6, F.lit(1.0))
 
@@ -85,7 +91,9 @@ def coordinated_http_flood(http: DataFrame, members: DataFrame, limits: Limits =
 
 def coordinated_api_abuse(http: DataFrame, members: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """Campaigns with several tokens whose summed rate is high while no session exceeds its quota."""
-    c = _by_campaign(http, members).where((endpoint_class(F.col("endpoint")) == "API") & (F.col("sessions") >= 2) & (F.col("tokens") >= 2))
+    http = http.where(endpoint_class(F.col("endpoint")) == "API")
+    c = _by_campaign(http, members).where("sessions >= 2")
+    c = c.join(_tokens(http, members).where("tokens >= 2"), F.col("campaign").eqNullSafe(F.col("c")) & (F.col("endpoint") == F.col("e")))
     c = c.withColumn("rate", F.col("requests") / _span()).withColumn("session_rate", F.col("most") / _span())
     return c.where((F.col("rate") > limits.api_rate) & (F.col("session_rate") <= limits.quota)).select("campaign", "endpoint", "sessions", "tokens", "requests", "rate")
 
