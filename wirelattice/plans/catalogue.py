@@ -481,6 +481,34 @@ def mitigation_scope(spark, sf_dir):
     return crosssession.mitigation_scope(http, _members(http)).where("kind = 'fingerprint'")
 
 
+# the same four over campaigns of related sessions; the SQL above follows fingerprints only
+
+
+def _over_campaigns(spark, sf_dir, operator, *limits):
+    http = ev.http_requests(spark, sf_dir)
+    return operator(http, crosssession.campaigns(http, LIMITS), *limits)
+
+
+@query()
+def campaign_credential_stuffing(spark, sf_dir):
+    return _over_campaigns(spark, sf_dir, crosssession.credential_stuffing, LIMITS)
+
+
+@query()
+def campaign_http_flood(spark, sf_dir):
+    return _over_campaigns(spark, sf_dir, crosssession.coordinated_http_flood, LIMITS)
+
+
+@query()
+def campaign_api_abuse(spark, sf_dir):
+    return _over_campaigns(spark, sf_dir, crosssession.coordinated_api_abuse, LIMITS)
+
+
+@query()
+def campaign_mitigation_scope(spark, sf_dir):
+    return _over_campaigns(spark, sf_dir, crosssession.mitigation_scope)
+
+
 @query(
     f"with {HTTP}, {DNS}, d as (select '10.0.0' as prefix, cast(floor(epoch_us(ts) / 1000000 / 300) as bigint) as w, count(*) filter (response_code = 'NXDOMAIN') as nxdomain, avg(entropy) as entropy from dns group by 1, 2 having count(*) filter (response_code = 'NXDOMAIN') between 1 and 20), "
     "d2 as (select prefix, unnest([w, w + 1]) as w, nxdomain, entropy from d), h as (select regexp_extract(src_ip, '^([^.]*[.][^.]*[.][^.]*)', 1) as prefix, cast(floor(epoch_us(ts) / 1000000 / 300) as bigint) as w, count(*) filter (response_code >= 400) as errors, count(*) as requests from http group by 1, 2 having count(*) filter (response_code >= 400) between 1 and 20) "
