@@ -1,5 +1,7 @@
 from collections import defaultdict
 
+import pytest
+
 from wirelattice.operators import crosssession
 from wirelattice.plans import catalogue
 from wirelattice.sources import events as ev
@@ -46,3 +48,10 @@ def test_campaign_queries_follow_related_sessions(spark, sf_dir):
             values[label[r["session_id"]], kind].add(value)
     got = catalogue.QUERIES["campaign_mitigation_scope"](spark, sf_dir).collect()
     assert {(r["campaign"], r["kind"]): {r["value"]} for r in got} == {k: v for k, v in values.items() if len(v) == 1}
+
+
+@pytest.mark.parametrize(("at", "meets"), [("11:59", True), ("12:01", True), ("12:06", True), ("11:54", False), ("12:11", False)])
+def test_cross_surface_in_either_order(spark, at, meets):
+    dns = spark.sql("select 'x.example.com.' qname, 'NXDOMAIN' response_code, '10.0.0.1' src_ip, timestamp'2024-01-01 12:01:00' ts")
+    http = spark.sql(f"select '10.0.0.2' src_ip, 404 response_code, timestamp'2024-01-01 {at}:00' ts")
+    assert (crosssession.cross_surface(dns, http).count() == 1) is meets

@@ -123,14 +123,14 @@ def campaign_recall(truth: DataFrame, detected: DataFrame) -> DataFrame:
     return hit.groupBy("campaign_id").agg(F.max(F.coalesce("hit", F.lit(0))).alias("hit")).agg(F.avg("hit").alias("recall"))
 
 
-def cross_surface(dns: DataFrame, http: DataFrame, limits: Limits = Limits()) -> DataFrame:
+def cross_surface(dns: DataFrame, http: DataFrame, limits: Limits = Limits(), apart: tuple[int, ...] = (-1, 0, 1)) -> DataFrame:
     """Address prefixes that show both a DNS and an HTTP sign within one window, each below its own limit.
 
-    An equi-join on prefix and window; each DNS summary also goes to the next window, so signs at most one window apart meet.
+    An equi-join on prefix and window; each DNS summary goes to the windows ``apart`` from its own, by default both neighbours too, so signs at most one window apart meet in either order.
     """
     w = F.floor(F.unix_seconds("ts") / limits.window_s)
     d = dns.groupBy(ip_prefix(F.col("src_ip")).alias("prefix"), w.alias("window")).agg(F.count_if(F.col("response_code") == "NXDOMAIN").alias("nxdomain"), F.avg(char_entropy(subdomain(F.col("qname")))).alias("entropy"))
-    d = d.where((F.col("nxdomain") > 0) & (F.col("nxdomain") <= limits.nxdomain)).withColumn("window", F.explode(F.array("window", F.col("window") + 1)))
+    d = d.where((F.col("nxdomain") > 0) & (F.col("nxdomain") <= limits.nxdomain)).withColumn("window", F.explode(F.array(*(F.col("window") + i for i in apart))))
     h = http.groupBy(ip_prefix(F.col("src_ip")).alias("prefix"), w.alias("window")).agg(F.count_if(F.col("response_code") >= 400).alias("errors"), F.count("*").alias("requests")).where((F.col("errors") > 0) & (F.col("errors") <= limits.cache_miss))
     return d.join(h, ["prefix", "window"]).select("prefix", "window", "nxdomain", "entropy", "errors", "requests")
 

@@ -515,6 +515,12 @@ def campaign_mitigation_scope(spark, sf_dir):
     'select prefix, w as "window", nxdomain, round(entropy, 6) as entropy, errors, requests from d2 join h using (prefix, w)'
 )
 def cross_surface(spark, sf_dir):
+    # its SQL lets HTTP signs only come with or after DNS signs
+    return crosssession.cross_surface(ev.dns_queries(spark, sf_dir), ev.http_requests(spark, sf_dir), LIMITS, apart=(0, 1))
+
+
+@query()
+def cross_surface_either_order(spark, sf_dir):
     return crosssession.cross_surface(ev.dns_queries(spark, sf_dir), ev.http_requests(spark, sf_dir), LIMITS)
 
 
