@@ -34,6 +34,21 @@ TECHNIQUES = {
     "APIAttack": ("T1499.003", "Endpoint Denial of Service: Application Exhaustion Flood", "Calls that abuse an interface"),
     "ScrapingAttack": ("T1119", "Automated Collection", "Systematic retrieval of content"),
 }
+#: attack_type -> what its explanation recommends.
+RECOMMENDATIONS = {
+    "LoginFlood": ["Implement CAPTCHA challenge on login page", "Enable rate limiting per identity (e.g., 5 attempts/minute)", "Add progressive delays after failed attempts", "Consider temporary account lockout"],
+    "HTTPFlood": ["Enable rate limiting per session/IP", "Implement JavaScript challenge", "Review WAF rules for this endpoint", "Consider CDN caching for static content"],
+    "BotBehavior": ["Implement bot detection (CAPTCHA, JavaScript challenge)", "Review User-Agent patterns", "Enable browser fingerprinting checks", "Consider bot management service"],
+    "APIAttack": ["Implement API rate limiting", "Add API key validation", "Review API authentication", "Consider request throttling"],
+    "ScrapingAttack": ["Implement robots.txt restrictions", "Add CAPTCHA challenges", "Monitor session patterns", "Consider data access limits"],
+    "SlowRequestAttack": ["Configure connection timeouts", "Implement request body size limits", "Enable connection rate limiting", "Review server thread pool settings"],
+    "QNameRandomization": ["Implement Response Rate Limiting (RRL) on DNS servers", "Enable DNS query rate limiting per source IP", "Deploy DNS firewall with random subdomain detection", "Configure DNS cache to minimize upstream queries", "Consider DNSSEC to reduce amplification potential"],
+    "NXDOMAINFlood": ["Enable NXDOMAIN caching with appropriate TTL", "Implement Response Rate Limiting (RRL)", "Configure negative caching TTL", "Deploy DNS firewall with NXDOMAIN flood detection", "Monitor and rate-limit repetitive NXDOMAIN queries"],
+    "DNSWaterTorture": ["Implement DNS query rate limiting with sliding window", "Enable DNS response caching", "Deploy anycast DNS infrastructure", "Monitor long-duration low-rate query patterns", "Consider DNS load balancing across multiple servers"],
+    "DNSAmplification": ["Disable open DNS recursion on authoritative servers", "Block DNS ANY queries from external sources", "Implement source IP verification", "Configure Response Rate Limiting (RRL)", "Monitor for unusually large DNS responses"],
+    "PhantomDomain": ["Implement aggressive timeout settings for slow domains", "Configure concurrent query limits per domain", "Monitor for domains with consistently slow responses", "Implement fallback DNS servers", "Consider blocking known phantom domains"],
+    "DNSTunneling": ["Deploy DNS tunneling detection solutions", "Monitor for unusually long DNS queries", "Block or rate-limit TXT record queries", "Implement DNS query length limits", "Analyze DNS traffic for encoded data patterns"],
+}
 #: Categories of evidence, tested in this order on lower-cased text.
 CATEGORIES = [("failed logins", "authentication_failures"), ("requests per second", "rate_anomaly"), ("request rate", "rate_anomaly"), ("variability", "behavioral_anomaly"), ("diversity", "behavioral_anomaly"), ("latency", "performance_impact"), ("response time", "performance_impact"), ("endpoint", "endpoint_targeting")]
 
@@ -88,9 +103,9 @@ def best_mitigation(anomalies: DataFrame, endpoint: str | None = None, most: int
 
 def explain(anomalies: DataFrame) -> DataFrame:
     """(anomaly_id, text): Markdown of an anomaly with its evidence and actions."""
-    actions = catalogue(anomalies.sparkSession).groupBy("attack_type").agg(F.array_sort(F.collect_list(F.struct("seq", "action"))).alias("todo"))
+    actions = anomalies.sparkSession.createDataFrame(list(RECOMMENDATIONS.items()), "attack_type string, todo array<string>")
     a = anomalies.join(F.broadcast(actions), "attack_type", "left")
-    todo = F.coalesce(F.transform("todo", lambda x: F.concat(F.lit("- "), x["action"])), F.array(F.lit("- Review and investigate the anomaly")))
+    todo = F.transform(F.coalesce("todo", F.array(F.lit("Review and investigate the anomaly"))), lambda x: F.concat(F.lit("- "), x))
     text = F.concat_ws(
         "\n", F.concat(F.lit("## "), "anomaly_type"), F.concat(F.lit("Severity: "), F.upper("severity")), F.concat(F.lit("Confidence: "), F.format_string("%.0f%%", F.col("confidence") * 100)),
         F.concat(F.lit("Attack type: "), F.coalesce("attack_type", F.lit("Unknown"))), F.when(F.col("target_endpoint") != "", F.concat(F.lit("Target: "), "target_endpoint")),
