@@ -255,11 +255,13 @@ def load_model(path: str):
     return PipelineModel.load(path)
 
 
-#: Parts of the ontology and the rules that need them.
+#: Parts of the ontology and the rules that need them; of attack entities, the rules that conclude one of the reference's five.
 COMPONENTS = {
     "http": ["login_flood", "http_flood", "expensive_endpoint_burst", "latency_increase", "slow_request", "api_abuse"],
     "dns": ["qname_randomization", "qname_randomization_domain", "nxdomain_flood", "nxdomain_flood_domain", "dns_water_torture", "dns_amplification", "dns_amplification_any", "phantom_domain", "dns_tunneling"],
     "session": ["login_flood", "http_flood", "low_session_value", "repetitive_route", "scraping"],
+    "attack": ["login_flood", "http_flood", "expensive_endpoint_burst", "latency_increase", "qname_randomization", "qname_randomization_domain", "nxdomain_flood", "nxdomain_flood_domain", "dns_water_torture"],
+    "mitigation": [],  # no rule reads mitigations
     "behaviour": ["bot_behavior", "scraping"],
 }
 
