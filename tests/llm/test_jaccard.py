@@ -74,16 +74,43 @@ def test_dense_group_below_the_threshold(spark, documents, monkeypatch):
     assert sorted(map(tuple, jaccard.components(documents(rows)).collect()), key=str) == brute(rows, 85, 4)
 
 
-def test_two_linked_sets_always_share_a_cell():
-    rng, rings = np.random.default_rng(1), jaccard.Rings()
+@pytest.mark.parametrize("spare", jaccard.LEVELS)
+def test_two_linked_sets_share_a_cell_that_both_keep(spare):
+    """Whatever other members the cells have: each set leaves the first cells of the common order."""
+    rng, rings = np.random.default_rng(1), jaccard.Rings(spare=spare)
     for n in (5, 6, 7, 8, 9, 12, 13, 14, 30, 31, 100, 337, 1000):
         for _ in range(60):
             a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
             most = int(0.15 * len(a))
-            b = np.unique(np.concatenate([a[int(rng.integers(0, most + 1)) :], rng.integers(0, 2**63, int(rng.integers(0, max(1, most)))).astype(np.uint64)]))
+            fresh = rng.integers(0, 2**63, int(rng.integers(0, max(1, most))))
+            b = np.unique(np.concatenate([a[int(rng.integers(0, most + 1)) :], fresh.astype(np.uint64)]))
             common = len(np.intersect1d(a, b))
             if 100 * common >= 85 * (len(a) + len(b) - common):
-                assert len(np.intersect1d(jaccard.cells(a, rings), jaccard.cells(b, rings))), n
+                (ka, la), (kb, lb) = jaccard.cells(a, rings), jaccard.cells(b, rings)
+                members = {int(k): int(rng.integers(2, 6)) for k in np.intersect1d(ka, kb)}
+                for k in (*ka, *kb):
+                    members.setdefault(int(k), int(rng.integers(1, 6)))
+                kept = []
+                for keys, leaves in ((ka, la), (kb, lb)):
+                    kept.append(set())
+                    for odd in (0, 1):
+                        mine = [k for k in map(int, keys) if k >> 1 & 1 == odd and members[k] > 1]
+                        mine.sort(key=lambda k: (-(k & 1), -members[k], k))
+                        kept[-1].update(mine[leaves[odd] :])
+                assert kept[0] & kept[1], n
+
+
+def test_a_passage_in_most_documents(spark, documents, monkeypatch):
+    """Popular cells are left and finer slices taken, and no link is lost."""
+    r = random.Random(4)
+    passage = ["p" + str(i) for i in range(60)]
+    rows = []
+    for i in range(60):
+        base = ["w" + str(r.randrange(10**7)) for _ in range(r.choice([8, 40, 100]))]
+        rows.append((2 * i, " ".join(base + passage), "s"))
+        rows.append((2 * i + 1, " ".join(near(r, base, r.choice([0.0, 0.03, 0.1])) + passage), "s"))
+    monkeypatch.setattr(jaccard, "SMALL", 1)
+    assert sorted(map(tuple, jaccard.components(documents(rows)).collect()), key=str) == brute(rows, 85, 4)
 
 
 def test_shingle_hashes_follow_words():

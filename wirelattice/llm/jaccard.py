@@ -1,36 +1,41 @@
 """N-gram Jaccard join: an exact metric-space join of shingle sets.
 
 Distances. Jaccard distance is a metric, and so is the size of the symmetric difference H. For sets of sizes a and b, J >= 85/100
-means H <= (a + b) * 3/37. All documents at Jaccard distance near 1 from every pivot (nearly all of a corpus) would fall into every boundary
-window, so pivots are set where distances do tell documents apart:
-
-1. Rings around the empty set: H(x, {}) is the size of x. By the triangle inequality a link joins sizes within a factor 100/85; rings grow
-   by half, and a document whose window reaches over its ring's upper edge is replicated into the next ring.
-2. Voronoi cells at radius 0: in a ring with at most T symmetric difference the universe of shingles is cut by hash into K > T slices, and
-   H is the sum of the slices' differences. So two linked documents agree wholly on at least K - T slices. In each slice every distinct content is a pivot, and
-   a document lies in the cells of the pivots at distance 0, one per slice. K leaves room for E = K - T - 1 slices with fewer than two shingles, which
-   a document skips; a document with more such slices skips none of them. Two linked documents therefore meet in at least one cell.
-3. Each cell takes a pivot, its smallest document; exact distances of its members to it are computed and members within the threshold are linked. A cell
-   whose members then lie in one component is done; so a group of thousands of near copies is settled by its first pivots, not by all its pairs.
-4. Recursion. In a cell with few members outside its main component these become pivots, too, and meet all members of other components. The documents of
-   larger cells join again, in the cells of finer pivots: single shingles, the rarest among these documents first. Every document is at the
-   same distance 1 - 1/n from each of its n shingles and at 1 from all others; by its window it goes to the first n - ceil(0.85 n) + 1 of them, and two
-   linked documents meet in one. In each cell members outside its main component become pivots, PIVOTS a round, and meet the members of other
-   components that sizes and ranks leave within reach, until no cell with two components is left.
+means H <= (a + b) * 3/37. All documents at Jaccard distance near 1 from every pivot (nearly all of a corpus) would fall into every
+boundary window, so pivots are set where distances do tell documents apart:
+
+1. Rings around the empty set: H(x, {}) is the size of x. By the triangle inequality a link joins sizes within a factor 100/85;
+   rings grow by half, and a document whose window reaches over its ring's upper edge is replicated into the next ring.
+2. Voronoi cells at radius 0: in a ring with at most T symmetric difference the universe of shingles is cut by hash into
+   K = T + 1 + R slices, and H is the sum of the slices' differences. So two linked documents agree wholly on at least R + 1 slices.
+   In each slice every distinct content is a pivot, and a document lies in the cells of the pivots at distance 0, one per slice.
+   The cells of a ring have one order (empty contents, then by falling number of members, then by key). Each document leaves its
+   first R cells: of R + 1 shared cells the last in that order comes after R others in either document, so both stay in it. A text
+   that many documents hold fills popular cells, which are left; a document with no more than R shared cells has no link at all.
+3. Each cell takes a pivot, its smallest document; exact distances of its members to it are computed and members within the threshold
+   are linked. A cell whose members then lie in one component is done; so a group of thousands of near copies is settled by its
+   first pivots, not by all its pairs. In a cell with few members outside its main component these become pivots, too, and meet all
+   members of other components.
+4. Recursion. The documents of cells that are still open join again among themselves, in finer slices of their own (LEVELS), ordered by
+   the numbers of members that are left. What is open after the finest slices goes to the cells of single shingles, the rarest among
+   these documents first: every document is at the same distance 1 - 1/n from each of its n shingles and at 1 from all others; by
+   its window it goes to the first n - ceil(0.85 n) + 1 of them, and two linked documents meet in one. There members outside the
+   main component become pivots, PIVOTS a round, and meet the members of other components that sizes and ranks leave within
+   reach, until no cell with two components is left.
 Pairs that meet are first compared by sketches, sizes of SKETCH slices, whose differences bound the symmetric difference from below.
 
 Exact copies form one class first. Within TOGETHER rows a cell's key is sent on once, so a hot cell does not send one row per document.
 
 Edge cases: null and empty texts and texts without words have empty sets and link with nothing; rows that share a doc_id count as one
-document (the set that sorts last stands for it where they differ); a null doc_id keeps its row with component_id null; ties do not matter, as a component is named by its smallest doc_id; empty tables give empty
-results; other columns are ignored.
+document (the set that sorts last stands for it where they differ); a null doc_id keeps its row with component_id null; ties do not
+matter, as a component is named by its smallest doc_id; empty tables give empty results; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -44,34 +49,28 @@ from wirelattice.sources.staging import deploy, discard, materialise
 
 #: Words of a shingle; the least similarity in hundredths.
 WORDS, PERCENT = 4, 85
-#: Growth of rings; the least T for which empty slices are skipped.
-GROWTH, FEW = 1.5, 8
+#: Growth of rings; R as a share of T, for all documents and then for those of cells that are still open.
+GROWTH, LEVELS = 1.5, (0.3, 1.0)
 #: Slices of a sketch (a byte each).
 SKETCH = 256
 #: Rows of which cell keys are sent on once.
 TOGETHER = 2500
-#: Pivots that a cell takes in a round, members outside the main component up to which a cell is settled at once (SMALL <= PIVOTS), ids that are broadcast at most (8 bytes each).
-PIVOTS, SMALL, BROADCAST_IDS = 512, 4, 2_000_000
+#: Pivots that a cell takes in a round; members outside the main component up to which a cell is settled at once (SMALL <= PIVOTS).
+PIVOTS, SMALL = 512, 4
+#: Ids that are broadcast at most (8 bytes each).
+BROADCAST_IDS = 2_000_000
 
 
 class Rings:
-    """Ring edges by set size, and slices per ring."""
+    """Ring edges by set size, and slices per ring; R is ``spare`` of T."""
 
-    def __init__(self, percent: int = PERCENT):
-        self.percent = percent
+    def __init__(self, percent: int = PERCENT, spare: float = LEVELS[0]):
+        self.percent, self.salt = percent, int(spare * 1000)
         self.edges = [1]
         while self.edges[-1] < 1 << 40:
             self.edges.append(max(self.edges[-1] + 1, int(self.edges[-1] * max(GROWTH, 101 / percent))))
-        self.plan = [self._slices(a, b - 1) for a, b in zip(self.edges, self.edges[1:], strict=False)]
-
-    def _slices(self, low: int, high: int) -> tuple[int, int]:
-        """(K, E) of a ring: T from its largest size, E from the Poisson number of empty slices at its smallest; any E is exact."""
-        most = (100 - self.percent) * 2 * high // (100 + self.percent)
-        spare = 0
-        for _ in range(3 if most >= FEW else 0):
-            empty = (most + 1 + spare) * math.exp(-low * self.percent / 100 / (most + 1 + spare))
-            spare = math.ceil(empty + 2 * math.sqrt(empty))
-        return most + 1 + spare, spare
+        most = [(100 - percent) * 2 * (high - 1) // (100 + percent) for high in self.edges[1:]]
+        self.plan = [(t + 1 + math.ceil(spare * t), math.ceil(spare * t)) for t in most]
 
     def of(self, size: int) -> list[int]:
         """The ring of a size, and the next where the size's window reaches it."""
@@ -79,49 +78,76 @@ class Rings:
         return [r, r + 1] if 100 * size // self.percent >= self.edges[r + 1] else [r]
 
 
-def cells(shingles: np.ndarray, rings: Rings, salt: int = 0) -> np.ndarray:
-    """The keys of the cells in which a set lies; a salt gives other slices."""
-    out = []
+def cells(shingles: np.ndarray, rings: Rings) -> tuple[np.ndarray, list[int]]:
+    """The keys of the cells in which a set lies, and how many of them it leaves in rings of even and of odd number.
+
+    The lowest bit of a key tells an empty content, the next one whether the ring's number is odd. Up to R empty
+    contents are left here and now, as they come first in the order.
+    """
+    out, leaves = [], [0, 0]
     for r in rings.of(len(shingles)):
         k, spare = rings.plan[r]
-        slot = ((mix(shingles + U(r + 1 + (salt << 8))) >> U(11)) % U(k)).astype(np.int64)
+        slot = ((mix(shingles + U(r + 1 + (rings.salt << 8))) >> U(11)) % U(k)).astype(np.int64)
         content = np.zeros(k, U)
         np.add.at(content, slot, mix(shingles ^ U(0xA5A5A5A5A5A5A5A5)))
-        full = np.bincount(slot, minlength=k) > 0
-        key = mix(content + mix(np.arange(k, dtype=U) + U(r << 40)))
-        out.append(key[full] if k - int(full.sum()) <= spare else key)
-    return np.concatenate(out)
+        empty = np.bincount(slot, minlength=k) == 0
+        key = mix(content + mix(np.arange(k, dtype=U) + U(r << 40))) & ~U(3) | U(r % 2 << 1) | empty.astype(U)
+        gone = int(empty.sum()) if empty.sum() <= spare else 0
+        out.append(key[~empty] if gone else key)
+        leaves[r % 2] = spare - gone
+    return np.concatenate(out), leaves
 
 
 def features(docs: DataFrame, percent: int, words: int) -> DataFrame:
-    """Per row: doc_id, n, digest of the set, ``sent`` (keys that it sends on), ``shared`` (keys that it shares with others of its TOGETHER rows).
+    """Per row: doc_id, n, digest of the set, ``sent`` (keys that it sends on), ``shared`` (keys that it shares with others of its
+    TOGETHER rows), ``even`` and ``odd`` (cells that it leaves in rings of even and odd number).
 
     Of exact copies among these only the first has keys.
     """
     deploy(docs.sparkSession)
-    schema = "doc_id long, n int, digest binary, sent array<long>, shared array<long>"
     rings = Rings(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low in range(0, batch.num_rows, TOGETHER):
-                yield _keys(batch.slice(low, TOGETHER), rings, words)
+                part = batch.slice(low, TOGETHER)
+                yield _keys(part.column(0), shingle_sets(part.column(1), words), rings)
         trim()
 
     whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return whole.mapInArrow(run, schema)
+    return whole.mapInArrow(run, FEATURES)
+
+
+def finer(sets: DataFrame, ids: DataFrame, rings: Rings) -> DataFrame:
+    """The features of the documents ``ids`` in the slices of ``rings``, from their sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, TOGETHER):
+                part = batch.slice(low, TOGETHER)
+                items = (np.array(part.column(1)[i].values, np.int64).view(U) for i in range(part.num_rows))
+                yield _keys(part.column(0), items, rings)
+        trim()
 
+    return few(sets.select("id", "items"), ids).mapInArrow(run, FEATURES)
 
-def _keys(batch: pa.RecordBatch, rings: Rings, words: int) -> pa.RecordBatch:
+
+#: Columns of a document's features.
+FEATURES = "doc_id long, n int, digest binary, sent array<long>, shared array<long>, even int, odd int"
+
+
+def _keys(ids: pa.Array, sets: Iterable[np.ndarray], rings: Rings) -> pa.RecordBatch:
     """The features of some rows."""
-    n, digests, keys, rows, seen = [], [], [], [], set()
-    for i, (doc, s) in enumerate(zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), words), strict=True)):
+    n, digests, leaves, keys, rows, seen = [], [], [], [], [], set()
+    for i, (doc, s) in enumerate(zip(ids.to_pylist(), sets, strict=True)):
         n.append(len(s))
         digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+        leaves.append((None, None))
         if doc is not None and len(s) and digests[-1] not in seen:
             seen.add(digests[-1])
-            keys.append(cells(s, rings))
-            rows.append(np.full(len(keys[-1]), i, np.int32))
+            found, leaves[-1] = cells(s, rings)
+            keys.append(found)
+            rows.append(np.full(len(found), i, np.int32))
     flat = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
     row = np.concatenate(rows) if rows else np.zeros(0, np.int32)
     del keys, rows
@@ -129,10 +155,10 @@ def _keys(batch: pa.RecordBatch, rings: Rings, words: int) -> pa.RecordBatch:
     flat, row = flat[order], row[order]
     new = np.r_[True, flat[1:] != flat[:-1]] if len(flat) else np.zeros(0, bool)
     alone = new & np.r_[new[1:], True] if len(flat) else new
-    return pa.RecordBatch.from_arrays(
-        [batch.column(0), pa.array(n, pa.int32()), pa.array(digests, pa.binary()), _lists(flat[new], row[new], len(n)), _lists(flat[~alone], row[~alone], len(n))],
-        names=["doc_id", "n", "digest", "sent", "shared"],
-    )
+    lists = [_lists(flat[new], row[new], len(n)), _lists(flat[~alone], row[~alone], len(n))]
+    even, odd = (pa.array([x[i] for x in leaves], pa.int32()) for i in (0, 1))
+    names = ["doc_id", "n", "digest", "sent", "shared", "even", "odd"]
+    return pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int32()), pa.array(digests, pa.binary()), *lists, even, odd], names=names)
 
 
 def _lists(values: np.ndarray, row: np.ndarray, rows: int) -> pa.Array:
@@ -204,71 +230,113 @@ def measured(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * F.col("common") >= percent * F.col("total")).select("x", "p")
 
 
+def entered(feats: DataFrame, member: DataFrame | None = None) -> DataFrame:
+    """(cell, x, leaves): documents, or the classes that ``member`` names, in the cells that two or more doc_ids enter."""
+    # a block sends a key once, so a cell has no more rows here than there are blocks
+    same = Window.partitionBy("cell")
+    sent = feats.select(F.explode("sent").alias("cell"), "doc_id")
+    sent = sent.select("cell", "doc_id", F.min("doc_id").over(same).alias("low"), F.max("doc_id").over(same).alias("high"))
+    met = sent.where("low <> high").select("cell", "doc_id")
+    met = met.unionByName(feats.select(F.explode("shared").alias("cell"), "doc_id"))
+    if member is None:
+        own = feats.select(F.col("doc_id").alias("x"), "doc_id", "even", "odd")
+    else:
+        own = member.select("doc_id", F.col("class").alias("x"), "even", "odd")
+    leaves = F.when(F.col("cell").bitwiseAND(2) == 0, F.col("even")).otherwise(F.col("odd"))
+    return met.join(own, "doc_id").groupBy("cell", "x").agg(F.min(leaves).alias("leaves"))
+
+
+def kept_cells(region: DataFrame) -> DataFrame:
+    """(cell, x, p): the cells of two or more members in which documents stay, with each cell's pivot."""
+    size = region.groupBy("cell").agg(F.count("*").alias("k")).where("k > 1")
+    order = Window.partitionBy("x", F.col("cell").bitwiseAND(2)).orderBy(F.col("cell").bitwiseAND(1).desc(), F.col("k").desc(), "cell")
+    stay = region.join(size, "cell").withColumn("place", F.row_number().over(order)).where("place > leaves").select("cell", "x")
+    stay = materialise(stay, "jaccard-stay")
+    first = stay.groupBy("cell").agg(F.min("x").alias("p"), F.max("x").alias("high")).where("p <> high").drop("high")
+    regions = materialise(stay.join(first, "cell"), "jaccard-regions")
+    discard(stay)
+    return regions
+
+
 def components(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id."""
     feats = materialise(features(docs, percent, words), "jaccard-features")
     known = feats.where("n > 0 and doc_id is not null")
-    classes = known.groupBy("n", "digest").agg(F.min("doc_id").alias("class"))
-    member = materialise(known.select("doc_id", "n", "digest").join(classes, ["n", "digest"]).groupBy("doc_id").agg(F.min("class").alias("class"), F.max("class").alias("other")), "jaccard-classes")
+    least = [F.min(c).alias(c) for c in ("even", "odd")]
+    classes = known.groupBy("n", "digest").agg(F.min("doc_id").alias("class"), *least)
+    member = known.select("doc_id", "n", "digest").join(classes, ["n", "digest"])
+    member = member.groupBy("doc_id").agg(F.min("class").alias("class"), F.max("class").alias("other"), *least)
+    member = materialise(member, "jaccard-classes")
     # rows that share a doc_id tie their classes together
     tied = member.where("class <> other").select(F.col("class").alias("x"), F.col("other").alias("p"))
-
-    sent = known.select(F.explode("sent").alias("cell"), "doc_id")
-    same = Window.partitionBy("cell")
-    met = sent.select("cell", "doc_id", F.min("doc_id").over(same).alias("low"), F.max("doc_id").over(same).alias("high")).where("low <> high").select("cell", "doc_id")
-    met = met.unionByName(known.select(F.explode("shared").alias("cell"), "doc_id"))
-    region = met.join(member.select("doc_id", F.col("class").alias("x")), "doc_id").groupBy("cell", "x").agg(F.lit(1).alias("_")).drop("_")
-    region = materialise(region, "jaccard-cells")
+    links = materialise(tied, "jaccard-links")
+    entry = materialise(entered(known, member), "jaccard-cells")
     sizes = materialise(feats.select("doc_id", "n"), "jaccard-sizes")
     shared_ids = known.count() > member.count()
     discard(feats)  # its keys are the largest table of the join and no longer needed
+    region = kept_cells(entry)
+    discard(entry)
 
-    first = region.groupBy("cell").agg(F.min("x").alias("p"), F.max("x").alias("high")).where("p <> high").drop("high")
-    region = materialise(region.join(first, "cell"), "jaccard-regions")
     ids = region.select(F.col("x").alias("id")).distinct()
     sets = materialise(sets_of(docs, ids, words), "jaccard-sets")
     if shared_ids:
-        sets = materialise(sets.groupBy("id").agg(F.max(F.struct("items", "sketch")).alias("s")).select("id", "s.items", "s.sketch"), "jaccard-sets")
-
-    pairs = region.where("x <> p").select("x", "p").distinct()
-    links = materialise(measured(pairs, sets, percent).unionByName(tied), "jaccard-links")
+        last = sets.groupBy("id").agg(F.max(F.struct("items", "sketch")).alias("s")).select("id", "s.items", "s.sketch")
+        sets = materialise(last, "jaccard-sets")
     labels = connected_components(links, "x", "p")
 
+    def met(pairs: DataFrame) -> None:
+        """Compare pairs (x, p), add the links found and label anew."""
+        nonlocal links, labels
+        new = materialise(measured(pairs, sets, percent), "jaccard-links")
+        if not new.isEmpty():
+            links = links.unionByName(new)
+            labels = connected_components(links, "x", "p")
+
     def among(rows: DataFrame) -> DataFrame:
         """The rows of cells with more than one component, with each cell's main component and the number of members outside it."""
-        named = rows.join(labels.select(F.col("node").alias("x"), "component"), "x", "left").withColumn("component", F.coalesce("component", "x"))
+        named = rows.join(labels.select(F.col("node").alias("x"), "component"), "x", "left")
+        named = named.withColumn("component", F.coalesce("component", "x"))
         counts = named.groupBy("cell", "component").agg(F.count("*").alias("k"))
         tops = counts.groupBy("cell").agg(F.max(F.struct("k", "component")).alias("top"), F.sum("k").alias("members"))
-        tops = tops.select("cell", F.col("top.component").alias("top"), (F.col("members") - F.col("top.k")).alias("others")).where("others > 0")
-        return materialise(named.join(tops, "cell"), "jaccard-open")
+        tops = tops.select("cell", F.col("top.component").alias("top"), (F.col("members") - F.col("top.k")).alias("others"))
+        return materialise(named.join(tops.where("others > 0"), "cell"), "jaccard-open")
 
-    def compared(named: DataFrame, window) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """The cells' pivots, and links and labels after they met the members of other components in their window."""
+    def compared(named: DataFrame, window) -> DataFrame:
+        """The cells' pivots, after they met the members of other components in their window."""
         rank = F.row_number().over(Window.partitionBy("cell").orderBy("x"))
         chosen = named.where("component <> top").withColumn("r", rank).where(F.col("r") <= PIVOTS)
         pivots = chosen.select("cell", *(F.col(c).alias("p_" + c) for c in named.columns if c != "cell"))
-        met = named.join(pivots, "cell").where((F.col("component") != F.col("p_component")) & window)
-        pairs = materialise(met.select(F.least("x", "p_x").alias("x"), F.greatest("x", "p_x").alias("p")).distinct(), "jaccard-pairs")
-        new = materialise(measured(pairs, sets, percent), "jaccard-links")
-        if new.isEmpty():
-            return pivots, links, labels
-        return pivots, links.unionByName(new), connected_components(links.unionByName(new), "x", "p")
-
-    # the first pivots have met all members of their cells
-    rest = among(region.where("x <> p").select("cell", "x"))
-    _, links, labels = compared(rest.where(F.col("others") <= SMALL), F.lit(True))
-    large = rest.where(F.col("others") > SMALL).select(F.col("x").alias("id")).distinct()
-    left = rare_cells(sets, large, percent)
-    while True:
-        named = among(left)
-        if named.isEmpty():
+        both = named.join(pivots, "cell").where((F.col("component") != F.col("p_component")) & window)
+        pairs = both.select(F.least("x", "p_x").alias("x"), F.greatest("x", "p_x").alias("p")).distinct()
+        met(materialise(pairs, "jaccard-pairs"))
+        return pivots
+
+    for level in range(len(LEVELS)):
+        if level:
+            feats = materialise(finer(sets, left, Rings(percent, LEVELS[level])), "jaccard-features")
+            entry = materialise(entered(feats), "jaccard-cells")
+            region = kept_cells(entry)
+            discard(entry)
+            discard(feats)
+        met(region.where("x <> p").select("x", "p").distinct())
+        # the first pivots have met all members of their cells
+        rest = among(region.where("x <> p").select("cell", "x"))
+        compared(rest.where(F.col("others") <= SMALL), F.lit(True))
+        left = materialise(rest.where(F.col("others") > SMALL).select(F.col("x").alias("id")).distinct(), "jaccard-left")
+        if left.isEmpty():
             break
-        window = in_reach("n", F.col("p_n"), "rank", percent) & in_reach("p_n", F.col("n"), "p_rank", percent) & (100 * F.least("n", "p_n") >= percent * F.greatest("n", "p_n"))
-        pivots, links, labels = compared(named, window)
-        # a cell whose outside members were all pivots is done
-        more = named.where(F.col("others") > PIVOTS)
-        left = more.join(pivots.select("cell", F.col("p_x").alias("x")), ["cell", "x"], "left_anti").select("cell", "x", "n", "rank")
-    final = member.join(labels.select(F.col("node").alias("class"), "component"), "class", "left").select("doc_id", F.coalesce("component", "class").alias("component"))
+    else:
+        rows = rare_cells(sets, left, percent)
+        while not (named := among(rows)).isEmpty():
+            within = in_reach("n", F.col("p_n"), "rank", percent) & in_reach("p_n", F.col("n"), "p_rank", percent)
+            near = 100 * F.least("n", "p_n") >= percent * F.greatest("n", "p_n")
+            pivots = compared(named, within & near)
+            # a cell whose outside members were all pivots is done
+            more = named.where(F.col("others") > PIVOTS)
+            done = pivots.select("cell", F.col("p_x").alias("x"))
+            rows = more.join(done, ["cell", "x"], "left_anti").select("cell", "x", "n", "rank")
+    named = labels.select(F.col("node").alias("class"), "component")
+    final = member.join(named, "class", "left").select("doc_id", F.coalesce("component", "class").alias("component"))
     out = sizes.select("doc_id", F.col("n").cast("long").alias("n_shingles")).join(final, "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
