@@ -50,3 +50,21 @@ def test_documents(spark, documents, hard, reference):
         assert r["n_tokens"] == len(want) and bytes(r["ids"]) == packed and r["ids_sha256"] == hashlib.sha256(packed).hexdigest()
         assert r["decoded_sha256"] == hashlib.sha256(reference.decode(want, skip_special_tokens=False).encode()).hexdigest()
     assert bpe.encode_documents(documents(hard).limit(0), bpe.default_file()).count() == 0
+
+
+def test_every_code_point_encodes_as_the_library_does():
+    tokenizers = pytest.importorskip("tokenizers")
+    from wirelattice.llm.bpe import default_file, encoder
+
+    library, own = tokenizers.Tokenizer.from_file(default_file()), encoder(default_file())
+    library.no_truncation()
+    library.no_padding()
+    texts = ["a" + chr(c) + "b " + 2 * chr(c) for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF]
+    wrong = []
+    for low in range(0, len(texts), 50_000):
+        part = texts[low : low + 50_000]
+        want = library.encode_batch(part, add_special_tokens=False)
+        for t, w, packed in zip(part, want, own.encode(part), strict=True):
+            if w.ids != [int.from_bytes(packed[i : i + 4], "little") for i in range(0, len(packed), 4)]:
+                wrong.append(hex(ord(t[1])))
+    assert not wrong

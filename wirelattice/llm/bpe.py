@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -39,6 +40,24 @@ def byte_symbols() -> list[str]:
             extra += 1
     return [out[b] for b in range(256)]
 
+#: Lower cases of capitals that are newer than this Python's Unicode tables.
+NEWER = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
+NEWER |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
+
+#: Code points that the letters and numbers of ``regex`` have and those of the library (Unicode 16) have not.
+LATER = (
+    "558 58B-58C 88F C5C CDC 208F 209D-209F A7CE-A7CF A7DD A7E2 A7F1 AB6C-AB6D 107BB-107BF 10940-10959 10EC5-10EC7 "
+    "10ED9-10EEE 11B0A 11DB0-11DDB 11DF1 16EA0-16EB8 16EBB-16ED3 16FF2-16FF3 187F8-187FF 18CD6-18CDA 18D09-18D20 "
+    "18D80-18DF2 18E00-19191 191A0-191D2 1B123-1B128 1B168 1D6A6 1DF1F-1DF24 1DF2B-1DF81 1DF90-1DF96 1DFCD-1DFFF "
+    "1E6C0-1E6DE 1E6E0-1E6E2 1E6E4-1E6E5 1E6E7-1E6ED 1E6F0-1E6F4 1E6FE-1E6FF 2B73A-2B73F 2B81E 2CEA2-2CEAD "
+    "323B0-33479 3D000-3FC3F "
+)
+LATER_NUMBERS = "11DE0-11DE9 1246F 12475-1247F 12550-12686 16FF4-16FF6"
+
+
+def _ranges(runs: str) -> str:
+    return "".join("-".join(f"\\U{x:0>8}" for x in run.split("-")) for run in runs.split())
+
 
 class WordBPE:
     """Encoder and decoder of a tokenizer file with word ends, lower case and white space dropped."""
@@ -63,6 +82,11 @@ class WordBPE:
         self.last = np.array([vocab[s + end] for s in symbols], np.int64)
         split = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words = regex.compile(split).findall
+        # slower, for texts that hold later letters
+        exact = split.replace(r"\p{L}", rf"[\p{{L}}--[{_ranges(LATER)}]]").replace(r"\p{N}", rf"[\p{{N}}--[{_ranges(LATER_NUMBERS)}]]")
+        self.exact = regex.compile(exact, regex.V1).findall
+        self.later = re.compile(f"[{_ranges(LATER + LATER_NUMBERS)}]").search
+        self.capital = re.compile(f"[{''.join(map(chr, NEWER))}]").search
         self.marks = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))))
         self.known: dict[str, bytes] = {}
 
@@ -143,7 +167,12 @@ class WordBPE:
 
     def plain(self, text: str) -> list[str]:
         # each character is lowered by itself: no final sigma
-        return self.words(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
+        bare = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        if bare.isascii():
+            return self.words(bare)
+        if self.capital(bare):
+            bare = bare.translate(NEWER)
+        return self.exact(bare) if self.later(bare) else self.words(bare)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Per text its packed ids."""
