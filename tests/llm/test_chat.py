@@ -2,6 +2,8 @@ import hashlib
 import json
 import random
 
+import pytest
+
 from wirelattice.llm import chat
 
 
@@ -51,3 +53,32 @@ def test_digests_against_plain_python(spark, tmp_path):
 
 def test_empty_table(spark, tmp_path):
     assert [r["conv_id"] for r in chat.op9_chat_formatting(spark, write(spark, tmp_path, [])).collect()] == [-1]
+
+
+@pytest.mark.parametrize(
+    ("record", "layout", "turns"),
+    [
+        ('{"messages":[{"role":"user","content":"a"},"oops"]}', None, []),
+        ('{"messages":[[{"role":"user","content":"a"}],{"role":"user","content":"b"}]}', None, []),
+        ('{"messages":["a"]}', None, []),
+        ('{"messages":[]}', "no_messages", []),
+        ('{"prompt":["a","b"],"response":"c"}', None, []),
+        ('{"prompt":"a","response":"c","tags":["x"]}', "prompt_response", [("user", "a"), ("assistant", "c")]),
+        ('{"messages":[{"role":"user","content":[{"type":"text","text":"a"},{"type":"text","text":"b"}]}]}', "message_parts", [("user", "ab")]),
+        ('{"conversations":[{"from":"human","value":"a"}]}', "conversations", [("user", "a")]),
+        ('{"role":"human","text":"a"}', "turn", [("user", "a")]),
+        ("[1]", None, []),
+        ("no json", None, []),
+    ],
+)
+def test_odd_records(spark, record, layout, turns):
+    rows = chat.format_records(spark.createDataFrame([(1, 0, record)], "k long, o long, r string"), "k", "o", "r").collect()
+    assert {r["layout"] for r in rows} == {layout}
+    assert [t for r in rows if r["segment"] for t in chat.read_back(r["segment"])] == turns
+
+
+def test_the_query_meets_several_layouts(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").limit(300)
+    records = rows.select("conv_id", "turn", chat.in_some_layout(rows["role"], rows["text"]).alias("record"))
+    found = chat.format_records(records, "conv_id", "turn", "record").select("layout").distinct().collect()
+    assert {r["layout"] for r in found} == {"turn", "turn_content", "messages", "message_parts", "conversations"}
