@@ -58,3 +58,31 @@ def test_edge_cases(spark):
     got = warc.resolve(warc.read_records(warc.recrawl(pages), "record"))
     assert got.count() == 10 and got.where("record_id = 'urn:capture:1:2'").first()["status"] == "no_earlier_response"
     assert warc.resolve(warc.read_records(warc.recrawl(pages.limit(0)), "record")).count() == 0
+
+
+def _one(i, kind="response", at=0, url="http://a.b/c", digest="d"):
+    date = datetime(2024, 1, 1, tzinfo=UTC) + timedelta(seconds=at)
+    return warc.record(kind, f"urn:{i}", url, date, "200 OK" if kind == "response" else "304 Not Modified", [("ETag", '"e"')], b"body", digest)
+
+
+def test_reading_goes_on_after_a_bad_record_and_a_truncated_file():
+    good = [_one(i) for i in range(4)]
+    got = [r and r[0] for r in warc.parse(good[0] + b"WARC/1.1\r\nWARC-Type: response\r\n\r\nlost\r\n\r\n" + good[1] + good[2])]
+    assert got == ["urn:0", None, "urn:1", "urn:2"]
+    members = gzip.compress(good[0]) + gzip.compress(good[1])
+    assert [r and r[0] for r in warc.parse(members)] == ["urn:0", "urn:1"]
+    cut = [r and r[0] for r in warc.parse(members[:-9])]
+    assert cut[0] is None and "urn:0" in cut
+    assert next(warc.parse(good[0].replace(b"00:00:00Z", b"00:00:00.123456Z")))[3] == datetime(2024, 1, 1, tzinfo=UTC)
+
+
+def test_hot_urls_nulls_and_profiles(spark):
+    data = [_one(i, at=i % 7) for i in range(40)] + [_one(100, "revisit", 3), _one(101, "revisit", 90_000), _one(102, url=None), _one(103, "revisit", 0)]
+    data.append(_one(104, "revisit", 50, digest="other").replace(b"server-not-modified", b"identical-payload-digest"))
+    data.append(_one(105, "revisit", 50).replace(b"server-not-modified", b"identical-payload-digest"))
+    rows = spark.createDataFrame([(bytearray(d),) for d in data], "record binary")
+    got = {r["record_id"]: r for r in warc.resolve(warc.read_records(rows, "record")).collect()}
+    assert len(got) == len(data)
+    assert got["urn:100"]["refers_to"] == "urn:9" and got["urn:101"]["refers_to"] == "urn:6"
+    assert got["urn:103"]["status"] == "no_earlier_response" and got["urn:102"]["status"] == "full"
+    assert got["urn:104"]["status"] == "validator_mismatch" and got["urn:105"]["status"] == "resolved"

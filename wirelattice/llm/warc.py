@@ -2,19 +2,23 @@
 
 Records are written and parsed in WARC/1.1 form. A ``revisit`` record of the server-not-modified profile has no payload: it takes the one of
 the latest earlier full response of the same canonical URL. That is an as-of join in two levels, so that a URL with any share of the rows
-never meets in one task: a window inside (URL, day) finds an earlier response of the same day; one summary row per (URL, day) carries the
-last response over to later days. A revisit resolves only if its validators fit the response: equal ETags (weak ones by their value), else equal
+never meets in one task: responses are reduced to the latest of each (URL, second), with map-side combine; a window over the seconds of a (URL, day),
+86,400 rows at most, finds an earlier one of the same day; one summary row per (URL, day) carries the last response over to later days. A revisit resolves only if its validators fit the response: equal ETags (weak ones by their value), else equal
 Last-Modified, else equal payload digests. The headers of the 304 that a cache may update are merged into the stored ones.
 
-Edge cases: null URLs and dates never resolve; null bodies count as empty; a response at the very second of a revisit is not earlier; among responses of one second the
-larger record id is the latest; repeated rows resolve alike; malformed records give a row with null type; empty tables give empty results;
+A revisit of the identical-payload-digest profile is no 304: it resolves by equal digests alone and keeps its own headers.
+
+Edge cases: null URLs and dates never resolve and take no part in the join; fractions of a second are cut; null bodies count as empty; a response at the very second of a revisit is not earlier; among responses of one second the
+larger record id is the latest; repeated rows resolve alike; a malformed stretch gives a row with null type and reading goes on at the
+next record; so does a truncated gzip file after what could be opened; empty tables give empty results;
 other columns are ignored.
 """
 
 from __future__ import annotations
 
-import gzip
 import hashlib
+import re
+import zlib
 from collections.abc import Iterator
 from datetime import UTC, datetime, timedelta
 
@@ -62,22 +66,47 @@ def _fields(lines: list[bytes]) -> dict[str, str]:
     return out
 
 
+_FRACTION = re.compile(r"\.[0-9]+Z$")
+
+
+def opened(data: bytes) -> tuple[bytes, bool]:
+    """What the gzip members hold, as far as they can be opened, and whether that was all."""
+    out = []
+    while data:
+        one = zlib.decompressobj(31)
+        try:
+            out.append(one.decompress(data))
+        except zlib.error:
+            return b"".join(out), False
+        if not one.eof:
+            return b"".join(out), False
+        data = one.unused_data
+    return b"".join(out), True
+
+
 def parse(data: bytes) -> Iterator[tuple | None]:
     """The records in some bytes (gzip members are opened), each as the columns of PARSED; None for what is no record."""
     if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
+        data, whole = opened(data)
+        if not whole:
+            yield None
     at = 0
     while at < len(data):
         end = data.find(b"\r\n\r\n", at)
-        if not data.startswith(b"WARC/", at) or end < 0:
+        head = _fields(data[at:end].split(b"\r\n")[1:]) if data.startswith(b"WARC/", at) and end >= 0 else {}
+        size = head.get("content-length", "")
+        if not (size.isascii() and size.isdigit()) or end + 4 + int(size) > len(data):
             yield None
-            return
-        head = _fields(data[at:end].split(b"\r\n")[1:])
-        size = int(head["content-length"]) if head.get("content-length", "").isdigit() else 0
+            again = data.find(b"\nWARC/", at + 1)
+            if again < 0:
+                return
+            at = again + 1
+            continue
+        size = int(size)
         block = data[end + 4 : end + 4 + size]
         top, _, body = block.partition(b"\r\n\r\n")
         try:
-            date = datetime.strptime(head.get("warc-date", ""), "%Y-%m-%dT%H:%M:%SZ").replace(tzinfo=UTC)
+            date = datetime.strptime(_FRACTION.sub("Z", head.get("warc-date", "")), "%Y-%m-%dT%H:%M:%SZ").replace(tzinfo=UTC)
         except ValueError:
             date = None
         yield head.get("warc-record-id", "").strip("<>"), head.get("warc-type"), head.get("warc-target-uri") or None, date, head.get("warc-profile"), head.get("warc-payload-digest"), _fields(top.split(b"\r\n")[1:]), body
@@ -114,33 +143,38 @@ def resolve(records: DataFrame) -> DataFrame:
     Works on narrow rows: a payload is carried as its digest and size, and can be fetched by ``refers_to``.
     """
     narrow = records.where("warc_type in ('response', 'revisit')").select(
-        "record_id", "warc_type", "date", "headers", "payload_digest", canonical_url(F.col("url")).alias("canonical_url"),
+        "record_id", "warc_type", F.date_trunc("second", "date").alias("date"), "headers", "payload_digest", "profile", canonical_url(F.col("url")).alias("canonical_url"),
         F.sha2(F.coalesce("body", F.lit(b"")), 256).alias("sha"), F.length(F.coalesce("body", F.lit(b""))).cast("long").alias("bytes"),
     )
     full = F.col("warc_type") == "response"
-    narrow = materialise(
-        narrow.withColumn("day", F.floor(F.unix_seconds("date") / DAY))
-        .withColumn("own", F.when(full & F.col("date").isNotNull() & F.col("canonical_url").isNotNull(), F.struct("record_id", "headers", "payload_digest", "sha", "bytes"))),
-        "warc-records",
-    )
-    # revisits come before responses of the same second
-    order = [F.col("date"), full.cast("int"), F.col("record_id")]
-    inside = Window.partitionBy("canonical_url", "day").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    last = narrow.where("own is not null").groupBy("canonical_url", "day").agg(F.max_by(F.struct("record_id", "headers", "payload_digest", "sha", "bytes"), F.struct("date", "record_id")).alias("last"))
-    days = narrow.select("canonical_url", "day").distinct().join(last, ["canonical_url", "day"], "left")
+    narrow = materialise(narrow.withColumn("day", F.floor(F.unix_seconds("date") / DAY)), "warc-records")
+    placed = F.col("date").isNotNull() & F.col("canonical_url").isNotNull()
+    kept = F.struct("record_id", "headers", "payload_digest", "sha", "bytes")
+    seconds = narrow.where(full & placed).groupBy("canonical_url", "day", "date").agg(F.max_by(kept, "record_id").alias("last"))
+    # a revisit's second sees earlier ones only
+    asked = narrow.where(~full & placed).select("canonical_url", "day", "date").distinct()
+    points = seconds.join(asked.withColumn("asked", F.lit(True)), ["canonical_url", "day", "date"], "full")
+    inside = Window.partitionBy("canonical_url", "day").orderBy("date").rowsBetween(Window.unboundedPreceding, -1)
+    same_day = points.withColumn("same_day", F.last("last", ignorenulls=True).over(inside)).where("asked").drop("last", "asked")
+    last = seconds.groupBy("canonical_url", "day").agg(F.max_by("last", "date").alias("last"))
+    days = asked.select("canonical_url", "day").distinct().join(last, ["canonical_url", "day"], "full")
     before = Window.partitionBy("canonical_url").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
     days = days.select("canonical_url", "day", F.last("last", ignorenulls=True).over(before).alias("older")).where("older is not null")
-    seen = narrow.withColumn("same_day", F.last("own", ignorenulls=True).over(inside)).join(days, ["canonical_url", "day"], "left")
-    of = seen.withColumn("of", F.when(~full & F.col("date").isNotNull() & F.col("canonical_url").isNotNull(), F.coalesce("same_day", "older")))
+    answer = same_day.join(days, ["canonical_url", "day"], "left")
+    answer = answer.select("canonical_url", "date", F.coalesce("same_day", "older").alias("of")).where("of is not null")
+    none = narrow.where(full | ~placed).withColumn("of", F.lit(None).cast(answer.schema["of"].dataType))
+    of = narrow.where(~full & placed).join(answer, ["canonical_url", "date"], "left").unionByName(none)
     tag = lambda h: F.regexp_replace(h["etag"], "^W/", "")
     mine, theirs = F.col("headers"), F.col("of.headers")
     fits = F.when(mine["etag"].isNotNull() & theirs["etag"].isNotNull(), tag(mine) == tag(theirs)).when(mine["last-modified"].isNotNull() & theirs["last-modified"].isNotNull(), mine["last-modified"] == theirs["last-modified"])
-    fits = F.coalesce(fits, F.col("payload_digest") == F.col("of.payload_digest"), F.lit(False))
+    same = F.col("payload_digest") == F.col("of.payload_digest")
+    copy = F.coalesce(F.col("profile").contains("identical-payload-digest"), F.lit(False))
+    fits = F.coalesce(F.when(copy, same).otherwise(F.coalesce(fits, same)), F.lit(False))
     status = F.when(full, "full").when(F.col("of").isNull(), "no_earlier_response").when(fits, "resolved").otherwise("validator_mismatch")
     done = of.withColumn("status", status).withColumn("good", F.col("status") == "resolved")
     new = F.map_filter(mine, lambda k, v: k.isin(*PERMITTED))
     merged = F.map_concat(F.map_filter(theirs, lambda k, v: ~F.array_contains(F.map_keys(new), k)), new)
-    headers = F.when(F.col("good"), merged).otherwise(mine)
+    headers = F.when(F.col("good") & ~copy, merged).otherwise(mine)
     text = F.array_join(F.transform(F.sort_array(F.map_entries(headers)), lambda e: F.concat(e["key"], F.lit(": "), e["value"])), "\n")
     whole = F.col("good") | full
     return done.select(
