@@ -68,3 +68,15 @@ def test_edge_cases(spark, documents, hard):
     assert d.count() == len(hard) and mixing.mix_documents(docs).columns == docs.columns
     assert mixing.mix_documents(docs.limit(0)).count() == 0 and mixing.copies(docs.limit(0))[0].count() == 0
     assert mixing.mix_documents(documents([(1, "", "a"), (2, None, None)])).count() == 0
+
+
+def test_an_id_that_most_rows_repeat(spark, documents):
+    """The group's mass is kept and its rows differ by one copy at most."""
+    rows = [(7, "one two three", "a")] * 3000 + [(i, "w " * (i % 9 + 1), "b") for i in range(100, 400)]
+    decided, by = mixing.copies(documents(rows))
+    got, target = decided.collect(), {r["source"]: r["target"] for r in by.collect()}
+    same = [r["copies"] for r in got if r["doc_id"] == 7]
+    assert len(got) == len(rows) and len(same) == 3000 and max(same) - min(same) <= 1
+    for source in "ab":
+        assert abs(sum(r["copies"] * r["size"] for r in got if r["source"] == source) - target[source]) <= 9
+    assert mixing.mix_documents(documents(rows)).where("doc_id = 7").count() == sum(same)

@@ -7,11 +7,13 @@ and the sum of words hold, until one of the two is 0 or 1; the other stays on to
 fractional residual, and residuals combine in the same way up a tree with CHUNK children per node; a source's last
 residual goes to the nearer whole number. So the words taken differ from the target by at most half a document; large
 documents meet first, which makes that last one a small document as a rule.
+Rows that agree in source, doc_id and size are counted first: of k of them with fraction p, floor(k p) are certain and only the rest of
+their mass goes into the tree, so an id that a third of all rows repeat is one item there.
 DataFrame functions only; all randomness is a hash of ids and a seed, so reruns agree.
 
 Edge cases: null texts and texts without words have size 0 and take no words (they are copied round(target / size)
-times); sources without words get target 0; null sources are one source, the last; repeated rows are rounded each by
-itself; empty tables give empty results; other columns are ignored.
+times); sources without words get target 0; null sources are one source, the last; repeated rows share the
+mass of their group as evenly as whole numbers allow; there is one window over the table of sources (a row each); empty tables give empty results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,8 +26,8 @@ from wirelattice.sources.staging import materialise
 
 #: Rows that meet in one node of the tree, the highest multiple of a source's size, the weights, the seed.
 CHUNK, MOST, WEIGHTS, SEED = 256, 3, 3, 20_260
-#: Decisions up to this number are broadcast (some 40 bytes each); beyond it the join is left to shuffle.
-BROADCAST_ROWS = 2_000_000
+#: Decisions up to this number are broadcast (about 185 bytes each as measured: 46 MB); beyond it the join is left to shuffle.
+BROADCAST_ROWS = 250_000
 
 
 def targets(sizes: DataFrame) -> DataFrame:
@@ -67,8 +69,8 @@ def meet(items: Column) -> Column:
     return let(items, fold)
 
 
-def copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, size, source, copies) for each row, and the targets by source.
+def decisions(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, size, source, copies, k): k rows that agree are taken ``copies`` times each; and the targets by source.
 
     Sizes are written once; the tree works on their narrow rows, one aggregate with CHUNK rows a group per level.
     """
@@ -76,34 +78,64 @@ def copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     by = materialise(targets(sizes), "mix-targets")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     plan = by.select(F.col("source").alias("of"), rate.alias("rate"), F.ceil(F.col("n") / CHUNK).alias("chunks"))
-    rows = sizes.join(plan, F.col("source").eqNullSafe(F.col("of"))).withColumn("whole", F.floor("rate").cast("int")).withColumn("p", F.col("rate") - F.col("whole"))
+    alike = sizes.groupBy("source", "doc_id", "size").agg(F.count("*").alias("k"))
+    rows = alike.join(plan, F.col("source").eqNullSafe(F.col("of"))).withColumn("whole", F.floor("rate").cast("int"))
+    rows = rows.withColumn("mass", F.col("k") * (F.col("rate") - F.col("whole"))).withColumn("ones", F.floor("mass"))
+    rows = materialise(rows.drop("of"), "mix-rows")
+    worded, blank = rows.where("size > 0"), rows.where("size = 0")
     key = F.xxhash64(F.lit(SEED), "doc_id", "size")
-    level = rows.where("size > 0").select("source", "doc_id", "size", "whole", "p", key.alias("order"), F.pmod(key, F.col("chunks")).alias("chunk"))
-    decided = [rows.where("size = 0").select("doc_id", "size", "source", (F.col("whole") + F.when(F.col("p") >= 0.5, 1).otherwise(0)).alias("copies"))]
+    p = (F.col("mass") - F.col("ones")).alias("p")
+    level = worded.select("source", "doc_id", "size", "whole", p, key.alias("order"), F.pmod(key, F.col("chunks")).alias("chunk"))
+    name = ["doc_id", "size", "source"]
+    one = F.lit(1).cast("long").alias("k")
+    nearest = F.col("whole") + F.when(F.col("rate") - F.col("whole") >= 0.5, 1).otherwise(0)
+    decided = [
+        blank.select(*name, nearest.alias("copies"), "k"),
+        worded.where("ones > 0").select(*name, (F.col("whole") + 1).alias("copies"), F.col("ones").alias("k")),
+        worded.where("k > ones + 1").select(*name, F.col("whole").alias("copies"), (F.col("k") - F.col("ones") - 1).alias("k")),
+    ]
     most = plan.agg(F.max("chunks")).first()[0] or 0
     while True:
-        met = level.groupBy("source", "whole", "chunk").agg(F.sort_array(F.collect_list(F.struct((-F.col("size")).alias("falling"), "order", "doc_id", "size", "p"))).alias("items"))
+        item = F.struct((-F.col("size")).alias("falling"), "order", "doc_id", "size", "p")
+        met = level.groupBy("source", "whole", "chunk").agg(F.sort_array(F.collect_list(item)).alias("items"))
         node = materialise(met.select("source", "whole", "chunk", meet(F.col("items")).alias("s")), "mix-level")
         out = node.select("source", "whole", F.explode("s.out").alias("d"))
-        decided.append(out.select("d.doc_id", "d.size", "source", (F.col("whole") + F.col("d.bit")).alias("copies")))
-        level = node.select("source", "s.doc_id", "s.size", "whole", "s.p", "s.order", F.floor(F.col("chunk") / CHUNK).alias("chunk"))
+        decided.append(out.select("d.doc_id", "d.size", "source", (F.col("whole") + F.col("d.bit")).alias("copies"), one))
+        up = F.floor(F.col("chunk") / CHUNK).alias("chunk")
+        level = node.select("source", "s.doc_id", "s.size", "whole", "s.p", "s.order", up)
         if most <= 1:
             break
         most = -(-most // CHUNK)
-    decided.append(level.select("doc_id", "size", "source", (F.col("whole") + (F.col("p") >= 0.5).cast("int")).alias("copies")))
+    decided.append(level.select(*name, (F.col("whole") + (F.col("p") >= 0.5).cast("int")).alias("copies"), one))
     out = decided[0]
     for more in decided[1:]:
         out = out.unionByName(more)
     return out, by
 
 
+def copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, size, source, copies) for each row, and the targets by source."""
+    out, by = decisions(docs)
+    out = materialise(out, "mix-decisions")
+    few, many = out.where(F.col("k") <= CHUNK), out.where(F.col("k") > CHUNK)
+    if not many.isEmpty():
+        # a large group's rows are made by many tasks
+        parts = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("k") - 1) / CHUNK)))
+        cut = many.withColumn("part", parts).repartition("doc_id", "size", "source", "part")
+        cut = cut.withColumn("k", F.least(F.lit(CHUNK), F.col("k") - F.col("part") * CHUNK)).drop("part")
+        few = few.unionByName(cut)
+    each = few.withColumn("row", F.explode(F.array_repeat(F.lit(0), F.col("k").cast("int"))))
+    return each.select("doc_id", "size", "source", "copies"), by
+
+
 def mix_documents(docs: DataFrame) -> DataFrame:
     """The rows, with all their columns, as often as the mix takes them.
 
     Decisions are joined by doc_id, size and source. Rows that agree in all three share their decisions in the order of their text.
     """
     key = ["doc_id", "size", "source"]
-    decided = copies(docs)[0].groupBy(*key).agg(F.sum("copies").cast("int").alias("copies"), F.count("*").cast("int").alias("k"))
+    total = F.sum(F.col("copies") * F.col("k")).cast("long").alias("copies")
+    decided = decisions(docs)[0].groupBy(*key).agg(total, F.sum("k").alias("k"))
     decided = materialise(decided, "mix-copies")
     other = decided.select(*(F.col(c).alias(f"of_{c}") for c in key), "copies", "k")
     if decided.count() <= BROADCAST_ROWS:
@@ -115,8 +147,8 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     if not decided.where("k > 1").isEmpty():
         i = F.row_number().over(Window.partitionBy(*key).orderBy(F.col("row.text")))
         share = F.floor(F.col("copies") * F.col("i") / F.col("k")) - F.floor(F.col("copies") * (F.col("i") - 1) / F.col("k"))
-        out = out.unionByName(met.where("k > 1").withColumn("i", i).select("row", share.cast("int").alias("copies")))
-    return out.withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select("row.*")
+        out = out.unionByName(met.where("k > 1").withColumn("i", i).select("row", share.alias("copies")))
+    return out.withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select("row.*")
 
 
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
