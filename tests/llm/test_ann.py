@@ -74,3 +74,29 @@ def test_rows_that_take_no_part(spark):
     assert got == [(0, 1, 8, 1.0), (0, 2, 6, 0.5), (0, 3, 20, 0.0), (20, 1, 6, 0.5), (20, 2, 0, 0.0), (20, 3, 8, 0.0)]
     assert ann.search(table(spark, rows).limit(0), F.col("vec_id") % 20 == 0).count() == 0
     assert ann.search(table(spark, [(0, [1.0, 2.0])]), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_lists_that_hold_too_few_are_topped_up(spark):
+    """Tiny far clusters beside a large one: every query still gets all it can."""
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(0, 1, (900, 8)) + 20, *(rng.normal(0, 0.1, (3, 8)) + c for c in rng.normal(0, 60, (20, 8)))])
+    rows = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    out = ann.search(rows, F.col("vec_id") % 20 == 0).groupBy("query_id").count().collect()
+    assert len(out) == 48 and {r["count"] for r in out} == {ann.NEAREST}
+
+
+def test_recall_on_the_embeddings_table(spark):
+    path = "/root/testdata/sf0.01/embeddings.parquet"
+    table = spark.read.parquet(path)
+    rows = ann.usable(table).collect()
+    ids, x = np.array([r["vec_id"] for r in rows]), np.array([r["v"] for r in rows])
+    hit = total = 0
+    got = {}
+    for r in ann.search(table, F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    for q in np.flatnonzero(ids % 20 == 0):
+        score = x @ x[q]
+        score[q] = -np.inf
+        best = set(ids[np.lexsort((ids, -score))[:20]].tolist())
+        hit, total = hit + len(best & got[int(ids[q])]), total + len(best)
+    assert hit >= 0.9 * total

@@ -5,7 +5,7 @@ distance. An index of lists (k-means centroids, fitted on a bounded sample) and
 vector goes to the list of its nearest centroid. A query probes its nearest lists, as many as the sample needs for a recall of RECALL. Within a block of a list the rotated coordinates are scanned in
 column blocks: after each, a candidate's partial distance, scaled up to all dimensions, is tested against the distance of the 21st best
 so far; if it exceeds it by more than the test's margin the candidate is abandoned. Survivors get the exact inner product of
-the original vectors in double precision.
+the original vectors in double precision. A query whose lists hold fewer vectors than asked for goes on through all lists.
 
 Equal vectors are one class of which the 21 smallest ids are candidates (no query can use more), and equal queries are searched once, so a vector
 that a third of all rows share costs no more than any other. Lists are cut into blocks of bounded size, queries of a list into chunks.
@@ -186,13 +186,8 @@ def search(vectors: DataFrame, is_query: Column, nearest: int = NEAREST) -> Data
     asked = rows.where(is_query)
     # a class of equal queries is named by its smallest id
     one = materialise(asked.groupBy("v").agg(F.min("vec_id").alias("vec_id")), "ann-queries")
-    probing = assign(one, index, True)
     size = placed.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    count = probing.groupBy("list").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
-    cut = size.join(count, "list")
     spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    candidates = placed.join(cut, "list").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks"))).withColumn("chunk", spread("chunks"))
-    questions = probing.join(cut, "list").withColumn("chunk", F.pmod(F.xxhash64("vec_id"), F.col("chunks"))).withColumn("block", spread("blocks"))
 
     def run(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(c):
@@ -201,11 +196,29 @@ def search(vectors: DataFrame, is_query: Column, nearest: int = NEAREST) -> Data
         at, ids, score = scan(np.stack(q["v"].to_list()), c["vec_id"].to_numpy(), np.stack(c["v"].to_list()), index, keep)
         return pd.DataFrame({"q": q["vec_id"].to_numpy()[at], "id": ids, "score": score})
 
-    key = ["list", "block", "chunk"]
-    met = questions.select(*key, "vec_id", "v").groupBy(*key).cogroup(candidates.select(*key, "vec_id", "v").groupBy(*key)).applyInPandas(run, result)
-    best = Window.partitionBy("q").orderBy(F.desc("score"), "id")
-    top = met.withColumn("r", F.row_number().over(best)).where(F.col("r") <= keep).select("q", "id", "score")
-    top = top.groupBy("q").agg(F.collect_list(F.struct((-F.col("score")).alias("far"), "id")).alias("found"))  # at most keep of them
+    def answers(probing: DataFrame) -> DataFrame:
+        """(q, found): the best ``keep`` of the lists that each query probes."""
+        count = probing.groupBy("list").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
+        cut = size.join(count, "list")
+        block, chunk = F.pmod(F.xxhash64("vec_id"), F.col("blocks")), F.pmod(F.xxhash64("vec_id"), F.col("chunks"))
+        candidates = placed.join(cut, "list").withColumn("block", block).withColumn("chunk", spread("chunks"))
+        questions = probing.join(cut, "list").withColumn("chunk", chunk).withColumn("block", spread("blocks"))
+        key = ["list", "block", "chunk"]
+        grouped = questions.select(*key, "vec_id", "v").groupBy(*key)
+        met = grouped.cogroup(candidates.select(*key, "vec_id", "v").groupBy(*key)).applyInPandas(run, result)
+        best = Window.partitionBy("q").orderBy(F.desc("score"), "id")
+        top = met.withColumn("r", F.row_number().over(best)).where(F.col("r") <= keep).select("q", "id", "score")
+        near = F.struct((-F.col("score")).alias("far"), "id")
+        return materialise(top.groupBy("q").agg(F.collect_list(near).alias("found")), "ann-found")  # at most keep of them
+
+    top = answers(assign(one, index, True))
+    # a query whose lists hold too few goes on through all lists
+    full = top.where(F.size("found") >= min(keep, placed.count()))
+    short = one.join(full.select(F.col("q").alias("vec_id")), "vec_id", "left_anti")
+    if not short.isEmpty():
+        lists = [r["list"] for r in size.select("list").collect()]  # LISTS at most
+        through = F.explode(F.array(*(F.lit(x) for x in lists))).alias("list")
+        top = full.unionByName(answers(short.select("vec_id", "v", through)))
     every = asked.join(one.select("v", F.col("vec_id").alias("q")), "v").select(F.col("vec_id").alias("query_id"), "q").join(top, "q")
     others = F.slice(F.sort_array(F.filter("found", lambda x: x["id"] != F.col("query_id"))), 1, nearest)
     out = every.select("query_id", F.posexplode(others).alias("pos", "x"))
