@@ -93,3 +93,10 @@ def test_documents(spark, documents, hard):
     text = {r["doc_id"]: (r["text"], r["n_chars"]) for r in out.collect()}
     assert text[20][0] == "write to <EMAIL> or <IP>, <PHONE>, <CARD>" and text[20][1] == len(text[20][0]) and text[1] == (None, None)
     assert pii.detect(docs.limit(0)).count() == 0 and pii.mask_documents(docs.limit(0)).count() == 0
+
+
+def test_an_address_is_never_cut():
+    long = "abcdefghij" * 6
+    text = f"write to {long}@intranet or to x@y now"
+    added = [("email", s, e) for s, e in [pii.whole(text, text.index("@intranet") - 5, text.index("@intranet") + 4, "email")]]
+    assert text[added[0][1] : added[0][2]] == long + "@intranet"

@@ -313,12 +313,21 @@ def reconcile(begin: np.ndarray, tags: np.ndarray, length: int) -> list[Span]:
     return [(KINDS[kind[i]], int(at[i]), int(at[j - 1]) + 1) for i, j in zip(heads, [*heads[1:], len(at)], strict=True)]
 
 
-def whole(text: str, start: int, end: int) -> tuple[int, int]:
-    """The span without blanks at its ends, grown over digits and parentheses that it cuts."""
+def whole(text: str, start: int, end: int, kind: str) -> tuple[int, int]:
+    """The span without blanks at its ends, grown over what it cuts: an address to its whole length, a number over digits
+    and parentheses (up to WINDOW characters, more than any of its kinds has)."""
     while start < end and text[start] in " \n\t,:;":
         start += 1
     while end > start and text[end - 1] in " \n\t,:;.":
         end -= 1
+    if kind == "email":
+        while start > 0 and text[start - 1] in _LOCAL:
+            start -= 1
+        while end < len(text) and text[end] in _HOST:
+            end += 1
+        while end > start and text[end - 1] in ".-":
+            end -= 1
+        return start, end
     while start > 0 and end - start < WINDOW and text[start - 1] in _GROWN:
         start -= 1
     while end < len(text) and end - start < WINDOW and text[end] in _DIGITS:
@@ -327,6 +336,8 @@ def whole(text: str, start: int, end: int) -> tuple[int, int]:
 
 
 _DIGITS, _GROWN = frozenset("0123456789"), frozenset("0123456789(")
+_HOST = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789.-")
+_LOCAL = _HOST | frozenset("_%+")
 
 
 def plausible(kind: str, text: str) -> bool:
@@ -364,7 +375,7 @@ def find_spans(texts: list[str], tagger: Tagger) -> list[tuple[list[Span], list[
         added = []
         last = 0
         for kind, s, e in reconcile(begin, mine, len(texts[i])):
-            s, e = whole(texts[i], s, e)
+            s, e = whole(texts[i], s, e, kind)
             if s < last:
                 continue
             before = int(np.searchsorted(starts, e)) if taken else 0
