@@ -193,8 +193,10 @@ def learn(docs: DataFrame, labels: DataFrame, vectors: np.ndarray) -> Network:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "quality", "x"])
 
     chosen = F.broadcast(rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")))  # TRAIN_ROWS at most
-    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id").select("doc_id", "text", "quality")
-    found = known.mapInArrow(run, "doc_id long, quality int, x binary").toPandas().sort_values(["doc_id", "x"]).head(TRAIN_ROWS)
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id")
+    # one row per id, however often an id is repeated: TRAIN_ROWS at most reach the driver
+    known = known.groupBy("doc_id", "quality").agg(F.min("text").alias("text")).select("doc_id", "text", "quality")
+    found = known.mapInArrow(run, "doc_id long, quality int, x binary").toPandas().sort_values("doc_id")
     x = np.frombuffer(b"".join(found["x"]), np.float32).reshape(-1, FEATURES).astype(float)
     return Network(x, (found["quality"].to_numpy() > 0).astype(float))
 
