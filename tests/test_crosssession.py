@@ -40,13 +40,13 @@ def test_campaign_queries_follow_related_sessions(spark, sf_dir):
         if r["endpoint"] == "/login":
             logins[label[r["session_id"]]].append(r)
     want = {(c, len({r["session_id"] for r in g}), len(g)) for c, g in logins.items() if len({r["session_id"] for r in g}) > 1 and sum(r["response_code"] in (401, 403) for r in g) > 0.1 * len(g)}
-    got = catalogue.QUERIES["campaign_credential_stuffing"](spark, sf_dir).collect()
+    got = catalogue.QUERIES["credential_stuffing"](spark, sf_dir).collect()
     assert want and {(r["campaign"], r["sessions"], r["requests"]) for r in got} == want
     values = defaultdict(set)
     for r in rows:
         for kind, value in (("identity", r["token"]), ("fingerprint", r["tls_fingerprint"]), ("prefix", prefix(r))):
             values[label[r["session_id"]], kind].add(value)
-    got = catalogue.QUERIES["campaign_mitigation_scope"](spark, sf_dir).collect()
+    got = catalogue.QUERIES["mitigation_scope"](spark, sf_dir).collect()
     assert {(r["campaign"], r["kind"]): {r["value"]} for r in got} == {k: v for k, v in values.items() if len(v) == 1}
 
 

@@ -21,7 +21,6 @@ class Limits:
     """Calibration parameters: the drafts leave them open, these are our defaults."""
 
     window_s: int = 300
-    popular: int = 10_000  # a bound in the checking SQL only; the operators relate every sharing session
     fail_ratio: float = 0.5
     rate: float = 10.0
     api_rate: float = 5.0

@@ -59,13 +59,15 @@ def betweenness_two_hop(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return both.select("id", "type", (F.col("i") * F.col("o") / F.greatest((n - 1) * (n - 2), F.lit(1))).alias("betweenness"))
 
 
-COLOURS = {"request": "#4ECDC4", "ip": "#FF6B6B", "endpoint": "#45B7D1", "session": "#96CEB4", "query": "#FFEAA7", "domain": "#DDA0DD", "server": "#98D8C8"}
+#: Colours of node types, and that of all others.
+COLOURS = {"request": "#4CAF50", "endpoint": "#2196F3", "session": "#FF9800", "anomaly": "#F44336", "ip": "#9C27B0", "behavior": "#00BCD4"}
+OTHER_COLOUR = "#607D8B"
 
 
 def cytoscape(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Elements as JSON lines, nodes first."""
     colour = F.create_map(*(F.lit(x) for kv in COLOURS.items() for x in kv))
-    n = nodes.select(F.lit("nodes").alias("group"), "id", F.to_json(F.struct(F.struct("id", F.substring("id", 1, 30).alias("label"), "type", F.coalesce(colour[F.col("type")], F.lit("#CCCCCC")).alias("color")).alias("data"))).alias("element"))
+    n = nodes.select(F.lit("nodes").alias("group"), "id", F.to_json(F.struct(F.struct("id", F.substring("id", 1, 30).alias("label"), "type", F.coalesce(colour[F.col("type")], F.lit(OTHER_COLOUR)).alias("color")).alias("data"))).alias("element"))
     key = F.concat_ws("|", "src", "rel", "dst")
     e = edges.select(F.lit("edges").alias("group"), key.alias("id"), F.to_json(F.struct(F.struct(F.col("src").alias("source"), F.col("dst").alias("target"), F.col("rel").alias("label")).alias("data"))).alias("element"))
     return n.unionByName(e)

@@ -5,35 +5,39 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Weights of severities and order of catalogue grades.
+#: Weights of severities, and of grades of effectiveness and of impact on legitimate users (more is better).
 SEVERITY = {"low": 1, "medium": 2, "high": 3, "critical": 4}
-GRADE = {"low": 1, "medium": 2, "high": 3, "very_high": 4}
+EFFECTIVENESS = {"high": 3, "medium": 2, "low": 1}
+IMPACT = {"positive": 4, "low": 3, "medium": 2, "high": 1}
 
-#: (attack_type, action, effectiveness, impact)
+#: Fixed values: (attack_type, action, description, impact on legitimate users, effectiveness, effort).
 MITIGATIONS = [
-    ("LoginFlood", "Require a second factor on repeated failures", "very_high", "medium"),
-    ("LoginFlood", "Throttle logins per identity", "high", "low"),
-    ("LoginFlood", "Challenge suspicious clients", "medium", "medium"),
-    ("HTTPFlood", "Throttle requests per session", "high", "low"),
-    ("HTTPFlood", "Serve the endpoint from cache", "high", "low"),
-    ("HTTPFlood", "Scale the backend out", "medium", "high"),
-    ("BotBehavior", "Challenge automated clients", "high", "medium"),
-    ("BotBehavior", "Block known automation fingerprints", "medium", "low"),
-    ("APIAttack", "Enforce quotas per token", "high", "low"),
-    ("APIAttack", "Validate request schemas", "medium", "low"),
-    ("ScrapingAttack", "Limit pages per session", "high", "medium"),
-    ("ScrapingAttack", "Vary the structure of listings", "low", "low"),
-    ("SlowRequestAttack", "Shorten header and body timeouts", "very_high", "low"),
-    ("SlowRequestAttack", "Cap connections per address", "medium", "low"),
+    ("LoginFlood", "enable_captcha", "Add CAPTCHA challenge to login form", "low", "high", "low"),
+    ("LoginFlood", "rate_limit_identity", "Rate limit by identity (email/username) not just IP", "low", "high", "medium"),
+    ("LoginFlood", "progressive_delay", "Add progressive delays after failed attempts", "low", "medium", "low"),
+    ("HTTPFlood", "javascript_challenge", "Implement JavaScript challenge for suspicious sessions", "medium", "high", "medium"),
+    ("HTTPFlood", "rate_limit_session", "Rate limit per session token", "low", "high", "low"),
+    ("HTTPFlood", "enable_caching", "Enable CDN caching for cacheable endpoints", "positive", "medium", "low"),
+    ("BotBehavior", "browser_fingerprinting", "Implement browser fingerprinting checks", "low", "high", "medium"),
+    ("BotBehavior", "behavior_analysis", "Enable behavioral analysis for session patterns", "low", "high", "high"),
+    ("APIAttack", "api_key_validation", "Require API key for endpoint access", "medium", "high", "medium"),
+    ("APIAttack", "api_rate_limiting", "Implement tiered API rate limiting", "low", "high", "low"),
+    ("ScrapingAttack", "data_access_limits", "Limit data returned per request", "low", "medium", "low"),
+    ("ScrapingAttack", "captcha_on_sensitive", "Add CAPTCHA to sensitive data endpoints", "medium", "high", "low"),
+    ("SlowRequestAttack", "connection_timeout", "Configure strict connection timeouts", "low", "high", "low"),
+    ("SlowRequestAttack", "request_size_limit", "Limit request body size", "low", "medium", "low"),
 ]
-#: attack_type -> (technique, its name, description)
-TECHNIQUES = {
-    "LoginFlood": ("T1110.003", "Brute Force: Password Spraying", "Repeated logins that fail, by one client or many"),
-    "HTTPFlood": ("T1499.002", "Endpoint Denial of Service: Service Exhaustion Flood", "Many requests that exhaust an application"),
-    "SlowRequestAttack": ("T1499.001", "Endpoint Denial of Service: OS Exhaustion Flood", "Requests that hold connections open"),
-    "APIAttack": ("T1499.003", "Endpoint Denial of Service: Application Exhaustion Flood", "Calls that abuse an interface"),
-    "ScrapingAttack": ("T1119", "Automated Collection", "Systematic retrieval of content"),
+#: attack_type -> technique; attack_type -> description, and that of all others.
+TECHNIQUES = {"HTTPFlood": "T1498.001", "LoginFlood": "T1110.003", "SlowRequestAttack": "T1498.001", "APIAttack": "T1190", "ScrapingAttack": "T1213"}
+DESCRIPTIONS = {
+    "HTTPFlood": "HTTP flood attack targeting web application endpoints with high request volume",
+    "LoginFlood": "Brute force or credential stuffing attack against authentication endpoints",
+    "SlowRequestAttack": "Slow request attack (Slowloris/RUDY) consuming server connections",
+    "APIAttack": "Abuse of API endpoints through excessive requests or manipulation",
+    "ScrapingAttack": "Automated scraping of web application content",
+    "BotBehavior": "Automated bot traffic exhibiting malicious patterns",
 }
+OTHER_DESCRIPTION = "Layer 7 DDoS attack"
 #: attack_type -> what its explanation recommends.
 RECOMMENDATIONS = {
     "LoginFlood": ["Implement CAPTCHA challenge on login page", "Enable rate limiting per identity (e.g., 5 attempts/minute)", "Add progressive delays after failed attempts", "Consider temporary account lockout"],
@@ -49,8 +53,13 @@ RECOMMENDATIONS = {
     "PhantomDomain": ["Implement aggressive timeout settings for slow domains", "Configure concurrent query limits per domain", "Monitor for domains with consistently slow responses", "Implement fallback DNS servers", "Consider blocking known phantom domains"],
     "DNSTunneling": ["Deploy DNS tunneling detection solutions", "Monitor for unusually long DNS queries", "Block or rate-limit TXT record queries", "Implement DNS query length limits", "Analyze DNS traffic for encoded data patterns"],
 }
-#: Categories of evidence, tested in this order on lower-cased text.
-CATEGORIES = [("failed logins", "authentication_failures"), ("requests per second", "rate_anomaly"), ("request rate", "rate_anomaly"), ("variability", "behavioral_anomaly"), ("diversity", "behavioral_anomaly"), ("latency", "performance_impact"), ("response time", "performance_impact"), ("endpoint", "endpoint_targeting")]
+#: Categories of evidence, tested in this order; the first three on the text as it is, the others on its lower case.
+CATEGORIES = [
+    ("Failed logins", "authentication_failures"), ("Requests per second", "rate_anomaly"), ("request rate", "rate_anomaly"),
+    ("variability", "behavioral_anomaly"), ("diversity", "behavioral_anomaly"), ("latency", "performance_impact"),
+    ("response time", "performance_impact"), ("endpoint", "endpoint_targeting"),
+]
+AS_IT_IS = 3
 
 
 def _map(values: dict[str, int]) -> Column:
@@ -70,8 +79,8 @@ def endpoint_under_attack(anomalies: DataFrame) -> DataFrame:
 
 def category(line: Column) -> Column:
     out = None
-    for text, name in CATEGORIES:
-        test = F.lower(line).contains(text)
+    for i, (text, name) in enumerate(CATEGORIES):
+        test = (line if i < AS_IT_IS else F.lower(line)).contains(text)
         out = F.when(test, name) if out is None else out.when(test, name)
     return out.otherwise("other")
 
@@ -89,7 +98,7 @@ def affected_sessions(anomalies: DataFrame, attack_type: str, most: int = 20) ->
 
 
 def catalogue(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(i, *row) for i, row in enumerate(MITIGATIONS)], "seq int, attack_type string, action string, effectiveness string, impact string")
+    return spark.createDataFrame([(i, *row) for i, row in enumerate(MITIGATIONS)], "seq int, attack_type string, action string, description string, impact string, effectiveness string, effort string")
 
 
 def best_mitigation(anomalies: DataFrame, endpoint: str | None = None, most: int = 5) -> DataFrame:
@@ -97,8 +106,20 @@ def best_mitigation(anomalies: DataFrame, endpoint: str | None = None, most: int
     a = anomalies if endpoint is None else anomalies.where(F.col("target_endpoint") == endpoint)
     seen = a.groupBy("attack_type").agg(F.count("*").alias("priority"))
     both = F.broadcast(catalogue(anomalies.sparkSession)).join(seen, "attack_type")
-    order = Window.orderBy(_map(GRADE)[F.col("effectiveness")].desc(), _map(GRADE)[F.col("impact")], F.col("priority").desc(), "seq")
-    return both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).select("rank", "attack_type", "action", "effectiveness", "impact", "priority")
+    order = Window.orderBy(_map(EFFECTIVENESS)[F.col("effectiveness")].desc(), _map(IMPACT)[F.col("impact")].desc(), F.col("priority").desc(), "seq")
+    ranked = both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+    return ranked.select("rank", "attack_type", "action", "description", "effectiveness", "impact", "effort", "priority")
+
+
+def mitigation_status(anomalies: DataFrame, endpoint: str | None = None) -> DataFrame:
+    """One row that goes with ``best_mitigation``: whether anything is to be done, the histogram of attack types, the confidence."""
+    a = anomalies if endpoint is None else anomalies.where(F.col("target_endpoint") == endpoint)
+    seen = a.groupBy("attack_type").agg(F.count("*").alias("n"))
+    entry = F.concat_ws(":", "attack_type", F.col("n").cast("string"))
+    g = seen.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.array_join(F.array_sort(F.collect_list(entry)), ",").alias("attack_types"))
+    status = F.when(F.col("n") == 0, "no_mitigation_needed").otherwise("recommendations_available")
+    confidence = F.least(F.lit(1.0), 0.15 * F.col("n")).alias("confidence")
+    return g.select(status.alias("status"), F.lit(endpoint).cast("string").alias("endpoint"), F.col("n").alias("anomaly_count"), "attack_types", confidence)
 
 
 def explain(anomalies: DataFrame) -> DataFrame:
@@ -149,9 +170,16 @@ def stix_indicators(anomalies: DataFrame) -> DataFrame:
 
 def stix_attack_patterns(anomalies: DataFrame) -> DataFrame:
     """One attack pattern per type seen, with its technique where one is known."""
-    known = anomalies.sparkSession.createDataFrame([(k, *v) for k, v in TECHNIQUES.items()], "attack_type string, technique string, technique_name string, description string")
-    seen = anomalies.select("attack_type").distinct().join(F.broadcast(known), "attack_type", "left")
-    return seen.select(F.concat(F.lit("attack-pattern--"), _uuid(F.col("attack_type"))).alias("id"), F.lit("attack-pattern").alias("type"), F.col("attack_type").alias("name"), F.coalesce("description", F.lit("Application-layer attack")).alias("description"), "technique")
+    kind = F.col("attack_type")
+    seen = anomalies.select(kind).distinct()
+    return seen.select(
+        F.concat(F.lit("attack-pattern--"), F.lower(kind)).alias("id"), F.lit("attack-pattern").alias("type"), F.lit("2.1").alias("spec_version"), kind.alias("name"),
+        F.coalesce(_texts(DESCRIPTIONS)[kind], F.lit(OTHER_DESCRIPTION)).alias("description"), _texts(TECHNIQUES)[kind].alias("technique"),
+    )
+
+
+def _texts(values: dict[str, str]) -> Column:
+    return F.create_map(*(F.lit(x) for kv in values.items() for x in kv))
 
 
 def stix_bundle(anomalies: DataFrame) -> DataFrame:

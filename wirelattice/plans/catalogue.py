@@ -363,18 +363,26 @@ def affected_sessions(spark, sf_dir):
     return semantic.affected_sessions(anomalies(spark, sf_dir), "LoginFlood")
 
 
-_CAT = " union all ".join(f"select {i} as seq, '{a}' as attack_type, '{t}' as action, '{e}' as effectiveness, '{m}' as impact" for i, (a, t, e, m) in enumerate(semantic.MITIGATIONS))
-_G = "case {0} when 'low' then 1 when 'medium' then 2 when 'high' then 3 else 4 end"
+_CAT = " union all ".join(f"select {i} as seq, '{a}' as attack_type, '{t}' as action, '{d}' as description, '{m}' as impact, '{e}' as effectiveness, '{w}' as effort" for i, (a, t, d, m, e, w) in enumerate(semantic.MITIGATIONS))
+_BEST = "case effectiveness when 'high' then 3 when 'medium' then 2 else 1 end desc, case impact when 'positive' then 4 when 'low' then 3 when 'medium' then 2 else 1 end desc"
 
 
 @query(
-    f"{FOUND}, cat as ({_CAT}), seen as (select {_KIND} as attack_type, count(*) as priority from found group by 1), o as (select *, row_number() over (order by {_G.format('effectiveness')} desc, {_G.format('impact')}, priority desc, seq) as rank from cat join seen using (attack_type)) "
-    "select cast(rank as integer) as rank, attack_type, action, effectiveness, impact, priority from o where rank <= 5"
+    f"{FOUND}, cat as ({_CAT}), seen as (select {_KIND} as attack_type, count(*) as priority from found group by 1), o as (select *, row_number() over (order by {_BEST}, priority desc, seq) as rank from cat join seen using (attack_type)) "
+    "select cast(rank as integer) as rank, attack_type, action, description, effectiveness, impact, effort, priority from o where rank <= 5"
 )
 def best_mitigation(spark, sf_dir):
     return semantic.best_mitigation(anomalies(spark, sf_dir))
 
 
+_STATUS = "select 'recommendations_available' as status, {0} as endpoint, cast(sum(n) as bigint) as anomaly_count, array_to_string(list_sort(list(attack_type || ':' || n)), ',') as attack_types, round(least(1.0, 0.15 * sum(n))::double, 6) as confidence from seen"
+
+
+@query(f"{FOUND}, seen as (select {_KIND} as attack_type, count(*) as n from found where target_endpoint = '/login' group by 1) {_STATUS.format(repr('/login'))}")
+def mitigation_status(spark, sf_dir):
+    return semantic.mitigation_status(anomalies(spark, sf_dir), "/login")
+
+
 @query()
 def explanations(spark, sf_dir):
     return semantic.explain(anomalies(spark, sf_dir))
@@ -428,7 +436,7 @@ def engine_status(spark, sf_dir):
 
 # --- cross-session and cross-surface -------------------------------------------------------------------------
 
-_SIG = f"with {HTTP}, sig as (select distinct session_id, cast(floor(epoch_us(ts) / 1000000 / {LIMITS.window_s}) as bigint) as w, unnest(['identity:' || token, 'fingerprint:' || tls_fingerprint, 'prefix:' || regexp_extract(src_ip, '^([^.]*[.][^.]*[.][^.]*)', 1)]) as v from http), hub as (select v, w, min(session_id) as hub from sig group by 1, 2 having count(*) between 2 and {LIMITS.popular})"
+_SIG = f"with {HTTP}, sig as (select distinct session_id, cast(floor(epoch_us(ts) / 1000000 / {LIMITS.window_s}) as bigint) as w, unnest(['identity:' || token, 'fingerprint:' || tls_fingerprint, 'prefix:' || regexp_extract(src_ip, '^([^.]*[.][^.]*[.][^.]*)', 1)]) as v from http), hub as (select v, w, min(session_id) as hub from sig group by 1, 2 having count(*) >= 2)"
 
 
 @query(f"{_SIG} select distinct hub, session_id from sig join hub using (v, w) where session_id <> hub")
@@ -436,91 +444,67 @@ def related_sessions(spark, sf_dir):
     return crosssession.related_stars(ev.http_requests(spark, sf_dir), LIMITS)
 
 
-@query(
+_REACH = (
     f"with recursive {_SIG[5:]}, e as (select distinct hub as a, session_id as b from sig join hub using (v, w) where session_id <> hub), b as (select a, b from e union select b, a from e), "
-    "r(node, reach) as (select distinct session_id, session_id from http union select r.node, b.b from r join b on r.reach = b.a) select node as session_id, min(reach) as campaign from r group by 1"
+    "r(node, reach) as (select distinct session_id, session_id from http union select r.node, b.b from r join b on r.reach = b.a), m as (select node as session_id, min(reach) as campaign from r group by 1)"
 )
+
+
+@query(f"{_REACH} select session_id, campaign from m")
 def campaigns(spark, sf_dir):
     return crosssession.campaigns(ev.http_requests(spark, sf_dir), LIMITS)
 
 
-def _members(http: DataFrame) -> DataFrame:
-    """Campaigns by fingerprint, for queries whose SQL can follow them."""
-    return http.select("session_id", F.col("tls_fingerprint").alias("campaign")).distinct()
+def _over_campaigns(spark, sf_dir, operator, *limits):
+    """An operator over the campaigns of related sessions."""
+    http = ev.http_requests(spark, sf_dir)
+    return operator(http, crosssession.campaigns(http, LIMITS), *limits)
 
 
-_CAMP = f"with {HTTP}, c as (select tls_fingerprint as campaign, endpoint, count(distinct session_id) as sessions, count(*) as requests, count(*) filter (response_code in (401, 403)) as failed, count(distinct token) as tokens, {_SPAN} as span from http group by 1, 2)"
+_CAMP = (
+    f"{_REACH}, c as (select campaign, endpoint, count(distinct session_id) as sessions, count(*) as requests, count(*) filter (response_code in (401, 403)) as failed, count(distinct token) as tokens, {_SPAN} as span from http join m using (session_id) group by 1, 2), "
+    "each as (select campaign, endpoint, max(k) as most from (select campaign, endpoint, session_id, count(*) as k from http join m using (session_id) group by 1, 2, 3) group by 1, 2), "
+    "calm as (select campaign, max(h) as highest from (select campaign, session_id, log2(sum(k)) - sum(k * log2(k)) / sum(k) as h from (select campaign, session_id, endpoint, count(*) as k from http join m using (session_id) group by 1, 2, 3) group by 1, 2) group by 1)"
+)
 
 
 @query(f"{_CAMP} select campaign, endpoint, sessions, requests, round(failed / requests, 6) as fail_ratio from c where endpoint = '/login' and sessions >= 2 and failed / requests > {LIMITS.fail_ratio}")
 def credential_stuffing(spark, sf_dir):
-    http = ev.http_requests(spark, sf_dir)
-    return crosssession.credential_stuffing(http, _members(http), LIMITS)
+    return _over_campaigns(spark, sf_dir, crosssession.credential_stuffing, LIMITS)
 
 
-@query(f"{_CAMP} select campaign, endpoint, sessions, requests, round(requests / span, 6) as rate from c where sessions >= 2 and requests / span > {LIMITS.rate}")
+@query(f"{_CAMP} select campaign, endpoint, sessions, requests, round(requests / span, 6) as rate from c join calm using (campaign) where sessions >= 2 and requests / span > {LIMITS.rate} and highest < {LIMITS.route_entropy}")
 def coordinated_http_flood(spark, sf_dir):
-    http = ev.http_requests(spark, sf_dir)
-    return crosssession.coordinated_http_flood(http, _members(http), LIMITS)
+    return _over_campaigns(spark, sf_dir, crosssession.coordinated_http_flood, LIMITS)
 
 
-@query(f"{_CAMP} select campaign, endpoint, sessions, tokens, requests, round(requests / span, 6) as rate from c where endpoint in ('/api/items', '/graphql') and sessions >= 2 and tokens >= 2 and requests / span > {LIMITS.api_rate}")
+@query(
+    f"{_CAMP} select campaign, endpoint, sessions, tokens, requests, round(requests / span, 6) as rate from c join each using (campaign, endpoint) "
+    f"where endpoint in ('/api/items', '/graphql') and sessions >= 2 and tokens >= 2 and requests / span > {LIMITS.api_rate} and most / span <= {LIMITS.quota}"
+)
 def coordinated_api_abuse(spark, sf_dir):
-    http = ev.http_requests(spark, sf_dir)
-    return crosssession.coordinated_api_abuse(http, _members(http), LIMITS)
-
-
-@query(f"with {HTTP}, n as (select session_id, endpoint, count(*) as k from http group by 1, 2) select session_id, round(log2(sum(k)) - sum(k * log2(k)) / sum(k), 6) as route_entropy from n group by 1")
-def route_entropy(spark, sf_dir):
-    return crosssession.route_entropy(ev.http_requests(spark, sf_dir))
+    return _over_campaigns(spark, sf_dir, crosssession.coordinated_api_abuse, LIMITS)
 
 
-@query(f"with {HTTP} select tls_fingerprint as campaign, 'fingerprint' as kind, tls_fingerprint as value from http group by 1")
+@query(
+    f"{_REACH}, s as (select distinct campaign, unnest(['identity', 'fingerprint', 'prefix']) as kind, unnest([token, tls_fingerprint, regexp_extract(src_ip, '^([^.]*[.][^.]*[.][^.]*)', 1)]) as value from http join m using (session_id)) "
+    "select campaign, kind, min(value) as value from s group by 1, 2 having count(*) = 1"
+)
 def mitigation_scope(spark, sf_dir):
-    http = ev.http_requests(spark, sf_dir)
-    return crosssession.mitigation_scope(http, _members(http)).where("kind = 'fingerprint'")
-
-
-# the same four over campaigns of related sessions; the SQL above follows fingerprints only
-
-
-def _over_campaigns(spark, sf_dir, operator, *limits):
-    http = ev.http_requests(spark, sf_dir)
-    return operator(http, crosssession.campaigns(http, LIMITS), *limits)
-
-
-@query()
-def campaign_credential_stuffing(spark, sf_dir):
-    return _over_campaigns(spark, sf_dir, crosssession.credential_stuffing, LIMITS)
-
-
-@query()
-def campaign_http_flood(spark, sf_dir):
-    return _over_campaigns(spark, sf_dir, crosssession.coordinated_http_flood, LIMITS)
-
-
-@query()
-def campaign_api_abuse(spark, sf_dir):
-    return _over_campaigns(spark, sf_dir, crosssession.coordinated_api_abuse, LIMITS)
+    return _over_campaigns(spark, sf_dir, crosssession.mitigation_scope)
 
 
-@query()
-def campaign_mitigation_scope(spark, sf_dir):
-    return _over_campaigns(spark, sf_dir, crosssession.mitigation_scope)
+@query(f"with {HTTP}, n as (select session_id, endpoint, count(*) as k from http group by 1, 2) select session_id, round(log2(sum(k)) - sum(k * log2(k)) / sum(k), 6) as route_entropy from n group by 1")
+def route_entropy(spark, sf_dir):
+    return crosssession.route_entropy(ev.http_requests(spark, sf_dir))
 
 
 @query(
     f"with {HTTP}, {DNS}, d as (select '10.0.0' as prefix, cast(floor(epoch_us(ts) / 1000000 / 300) as bigint) as w, count(*) filter (response_code = 'NXDOMAIN') as nxdomain, avg(entropy) as entropy from dns group by 1, 2 having count(*) filter (response_code = 'NXDOMAIN') between 1 and 20), "
-    "d2 as (select prefix, unnest([w, w + 1]) as w, nxdomain, entropy from d), h as (select regexp_extract(src_ip, '^([^.]*[.][^.]*[.][^.]*)', 1) as prefix, cast(floor(epoch_us(ts) / 1000000 / 300) as bigint) as w, count(*) filter (response_code >= 400) as errors, count(*) as requests from http group by 1, 2 having count(*) filter (response_code >= 400) between 1 and 20) "
+    "d2 as (select prefix, unnest([w - 1, w, w + 1]) as w, nxdomain, entropy from d), h as (select regexp_extract(src_ip, '^([^.]*[.][^.]*[.][^.]*)', 1) as prefix, cast(floor(epoch_us(ts) / 1000000 / 300) as bigint) as w, count(*) filter (response_code >= 400) as errors, count(*) as requests from http group by 1, 2 having count(*) filter (response_code >= 400) between 1 and 20) "
     'select prefix, w as "window", nxdomain, round(entropy, 6) as entropy, errors, requests from d2 join h using (prefix, w)'
 )
 def cross_surface(spark, sf_dir):
-    # its SQL lets HTTP signs only come with or after DNS signs
-    return crosssession.cross_surface(ev.dns_queries(spark, sf_dir), ev.http_requests(spark, sf_dir), LIMITS, apart=(0, 1))
-
-
-@query()
-def cross_surface_either_order(spark, sf_dir):
     return crosssession.cross_surface(ev.dns_queries(spark, sf_dir), ev.http_requests(spark, sf_dir), LIMITS)
 
 
