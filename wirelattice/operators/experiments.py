@@ -13,7 +13,7 @@ from pyspark.sql.types import NumericType
 
 from wirelattice.functions.scalars import zero_infinite
 from wirelattice.operators.metrics import Frames
-from wirelattice.operators.rules import CATEGORIES, CODE, Thresholds, composite_score, detect
+from wirelattice.operators.rules import CATEGORIES, CODE, Thresholds, composite_score, detect, members
 
 
 def numeric(df: DataFrame, *without: str) -> list[str]:
@@ -42,7 +42,7 @@ def dataset_statistics(df: DataFrame, label: str = "Label") -> DataFrame:
 def label_index(df: DataFrame, label: str = "Label") -> DataFrame:
     """Adds ``label_id``: classes by name from 0 (ranks come from the few distinct names)."""
     ids = df.select(label).distinct().select(F.col(label).alias("_l"), (F.row_number().over(Window.orderBy(label)) - 1).alias("label_id"))
-    return df.join(F.broadcast(ids), F.col(label).eqNullSafe(F.col("_l"))).drop("_l")
+    return df.join(ids, F.col(label).eqNullSafe(F.col("_l"))).drop("_l")
 
 
 def hash_order(key: Column, seed: int) -> Column:
@@ -154,17 +154,20 @@ def performance_drop(df: DataFrame, base: str = "base", value: str = "f1") -> Da
     return df.withColumn("performance_drop", drop).withColumn("importance", F.when(drop > 5, "critical").when(drop > 3, "high").when(drop > 1, "medium").otherwise("low"))
 
 
+def _left_out(parts: dict[str, list[str]]) -> dict[str, Column]:
+    """By name, whether an anomaly's rule still runs: for all rules, and without each part's."""
+    return {"full": F.lit(True), **{name: ~F.col("rule").isin(gone) if gone else F.lit(True) for name, gone in parts.items()}}
+
+
 def rule_ablation(frames: Frames, truth: DataFrame, thresholds: Thresholds = CODE) -> DataFrame:
-    """(component, tp, fp, fn, f1): sessions detected with all rules and with each category left out, against (session_id, label)."""
-    out = None
-    anomalies = detect(frames, thresholds).select("rule", F.explode("related_sessions").alias("session_id")).distinct()
-    for name, gone in {"full": [], **CATEGORIES}.items():
-        seen = anomalies.where(~F.col("rule").isin(gone)) if gone else anomalies
-        hit = truth.join(seen.select("session_id").distinct().withColumn("hit", F.lit(1)), "session_id", "left").na.fill(0, ["hit"])
-        a = hit.agg(F.count_if((F.col("hit") == 1) & (F.col("label") == 1)).alias("tp"), F.count_if((F.col("hit") == 1) & (F.col("label") == 0)).alias("fp"), F.count_if((F.col("hit") == 0) & (F.col("label") == 1)).alias("fn"))
-        row = a.select(F.lit(name).alias("component"), "tp", "fp", "fn", F.when(F.col("tp") > 0, 2 * F.col("tp") / (2 * F.col("tp") + F.col("fp") + F.col("fn"))).otherwise(0.0).alias("f1"))
-        out = row if out is None else out.unionByName(row)
-    return out
+    """(component, tp, fp, fn, f1): sessions detected with all rules and with each category left out, against (session_id, label). One detection serves all cases."""
+    cases = _left_out(CATEGORIES)
+    seen = members(detect(frames, thresholds), frames).groupBy("session_id").agg(*(F.bool_or(c).alias(f"hit_{n}") for n, c in cases.items()))
+    both = truth.select("session_id", "label").join(seen, "session_id", "left").na.fill(False, [f"hit_{n}" for n in cases])
+    count = lambda n, hit, label: F.count_if((F.col(f"hit_{n}") == hit) & (F.col("label") == label))
+    rows = [F.struct(F.lit(n).alias("component"), count(n, True, 1).alias("tp"), count(n, True, 0).alias("fp"), count(n, False, 1).alias("fn")) for n in cases]
+    out = both.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
+    return out.withColumn("f1", F.when(F.col("tp") > 0, 2 * F.col("tp") / (2 * F.col("tp") + F.col("fp") + F.col("fn"))).otherwise(0.0))
 
 
 def weight_ablation(df: DataFrame, parts: list[Column], truth: str, threshold: float = 0.5) -> DataFrame:
@@ -267,11 +270,11 @@ COMPONENTS = {
 
 
 def ontology_ablation(frames: Frames, thresholds: Thresholds = CODE) -> DataFrame:
-    """(component, anomalies, endpoints): what is left to detect without each part of the ontology."""
+    """(component, anomalies, endpoints): what is left to detect without each part of the ontology. One detection serves all cases."""
     found = detect(frames, thresholds).groupBy("rule", "target_endpoint").agg(F.count("*").alias("n"))
-    out = None
-    for name, gone in {"full": [], **COMPONENTS}.items():
-        left = found.where(~F.col("rule").isin(gone)) if gone else found
-        row = left.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("anomalies"), F.countDistinct(F.when(F.col("target_endpoint") != "", F.col("target_endpoint"))).alias("endpoints")).select(F.lit(name).alias("component"), "anomalies", "endpoints")
-        out = row if out is None else out.unionByName(row)
-    return out
+    hit = F.col("target_endpoint") != ""
+    rows = [
+        F.struct(F.lit(name).alias("component"), F.coalesce(F.sum(F.when(keep, F.col("n"))), F.lit(0)).alias("anomalies"), F.countDistinct(F.when(keep & hit, F.col("target_endpoint"))).alias("endpoints"))
+        for name, keep in _left_out(COMPONENTS).items()
+    ]
+    return found.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))

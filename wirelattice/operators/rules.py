@@ -115,13 +115,13 @@ def low_session_value(f: Frames, t: Thresholds) -> DataFrame:
 
 
 def expensive_endpoint_burst(f: Frames, t: Thresholds) -> DataFrame:
-    d = f.endpoint.join(F.broadcast(f.endpoints), F.col("endpoint") == F.col("path")).where((F.col("computational_cost") > t.expensive_cost) & (F.col("requests_per_second") > t.expensive_rps)).join(f.endpoint_sessions, "endpoint", "left")
+    d = f.endpoint.join(f.endpoints, F.col("endpoint") == F.col("path")).where((F.col("computational_cost") > t.expensive_cost) & (F.col("requests_per_second") > t.expensive_rps)).join(f.endpoint_sessions, "endpoint", "left")
     score = clamp(F.col("requests_per_second") / 60) * F.col("computational_cost")
     return anomaly(d, "expensive_endpoint_burst", "ExpensiveEndpointBurstAnomaly", "HTTPFlood", "expensive", "endpoint", F.col("endpoint"), score, 0.9, F.col("requests_per_second"), level=severity(score), target=F.col("endpoint"), sessions=F.col("sessions"), evidence={"Request rate": F.col("requests_per_second"), "Cost": F.col("computational_cost")})
 
 
 def latency_increase(f: Frames, t: Thresholds) -> DataFrame:
-    known = F.broadcast(f.endpoints.where("average_response_time_ms > 0"))
+    known = f.endpoints.where("average_response_time_ms > 0")
     rows = f.http.select("endpoint", F.col("response_time_ms").alias("avg_response_time_ms"), F.col("request_id").alias("subject")) if t.latency_per_request else f.endpoint.withColumn("subject", F.col("endpoint"))
     ratio = F.col("rt") / F.col("average_response_time_ms")
     d = rows.withColumnRenamed("avg_response_time_ms", "rt").join(known, F.col("endpoint") == F.col("path")).where(ratio > t.latency_ratio)
@@ -214,7 +214,7 @@ def dns_tunneling(f: Frames, t: Thresholds) -> DataFrame:
 
 def cache_bypass(f: Frames, t: Thresholds) -> DataFrame:
     """Requests that ask a cacheable endpoint not to be served from the cache (needs ``headers``)."""
-    d = f.http.where(F.lower(F.col("headers")["Cache-Control"]) == "no-cache").join(F.broadcast(f.endpoints.where("is_cacheable")), F.col("endpoint") == F.col("path"))
+    d = f.http.where(F.lower(F.col("headers")["Cache-Control"]) == "no-cache").join(f.endpoints.where("is_cacheable"), F.col("endpoint") == F.col("path"))
     return anomaly(d, "cache_bypass", "CacheBypassAnomaly", "CacheBypass", "cache_bypass", "request", F.col("request_id"), F.lit(0.65), 0.65, F.lit(1), target=F.col("endpoint"), sessions=_session(), ts=F.col("ts"))
 
 
@@ -244,6 +244,19 @@ def detect(frames: Frames, thresholds: Thresholds = CODE, rules: list[str] | Non
     return found.withColumn("rule_seq", order[F.col("rule")])
 
 
+def members(anomalies: DataFrame, frames: Frames) -> DataFrame:
+    """(anomaly_id, rule, target_endpoint, session_id): every session of each anomaly, once.
+
+    ``related_sessions`` of an endpoint's anomaly lists the first ten for display; here its sessions come from the table of requests by
+    session and endpoint. Anomalies about addresses and domains have none.
+    """
+    a = anomalies.select("anomaly_id", "rule", "target_endpoint", "subject_type", "subject_id", "related_sessions")
+    own = a.where("subject_type <> 'endpoint'").select("anomaly_id", "rule", "target_endpoint", F.explode("related_sessions").alias("session_id"))
+    pairs = frames.parts.where("session_id is not null").select(F.col("endpoint").alias("subject_id"), "session_id")
+    hit = a.where("subject_type = 'endpoint' and size(related_sessions) > 0").select("anomaly_id", "rule", "target_endpoint", "subject_id").join(pairs, "subject_id").drop("subject_id")
+    return own.unionByName(hit).where("session_id is not null").distinct()
+
+
 def composite_score(df: DataFrame, volume: Column, structure: Column, behaviour: Column, intelligence: Column, weights: tuple[float, float, float, float] = (0.3, 0.2, 0.35, 0.15)) -> DataFrame:
     """The weighted sum of four partial scores, with weights that sum to 1."""
     total = sum(weights)

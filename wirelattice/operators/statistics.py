@@ -49,30 +49,45 @@ def auc(df: DataFrame, truth: str, score: str) -> DataFrame:
     """
     per = df.where(F.col(score).isNotNull()).groupBy(F.col(score).cast("double").alias("s")).agg(F.count_if(F.col(truth) > 0).alias("p"), F.count_if(F.col(truth) <= 0).alias("q"))
     below = _before(per, "s", "q")
-    a = below.agg(F.sum(F.col("p") * (F.col("before") + F.col("q") / 2)).alias("u"), F.sum("p").alias("np"), F.sum("q").alias("nq"))
+    a = below.agg(F.sum(F.col("p") * (F.col("before_q") + F.col("q") / 2)).alias("u"), F.sum("p").alias("np"), F.sum("q").alias("nq"))
     return a.select((F.col("u") / (F.col("np") * F.col("nq"))).alias("auc"))
 
 
-def _before(df: DataFrame, order: str, value: str, parts: int = 64) -> DataFrame:
-    """Adds ``before``: the sum of ``value`` over rows with a smaller ``order``, by ranges and the ranges' totals."""
-    edges = df.select(F.percentile_approx(order, [i / parts for i in range(1, parts)], 10_000)).first()[0] or []
-    edges = sorted(set(edges))
-    part = F.lit(0)
-    for e in edges:
-        part = part + (F.col(order) > F.lit(e)).cast("int")
-    cut = df.withColumn("part", part)
-    inside = F.coalesce(F.sum(value).over(Window.partitionBy("part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    totals = cut.groupBy("part").agg(F.sum(value).alias("t"))
-    carried = totals.select("part", F.coalesce(F.sum("t").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("carried"))
-    return cut.withColumn("inside", inside).join(F.broadcast(carried), "part").withColumn("before", F.col("inside") + F.col("carried")).drop("part", "inside", "carried")
+#: Rows that one range of a running sum holds, about.
+RANGE_ROWS = 1_000_000
+
+
+def _before(df: DataFrame, order: str, *values: str) -> DataFrame:
+    """Adds ``before_<value>`` for each value: its sum over rows with a smaller ``order``, which must be distinct and not null.
+
+    Sums run inside ranges of ``order`` and start at the sum of the ranges before; the number of ranges grows with the rows.
+    """
+    parts = max(64, df.count() // RANGE_ROWS)
+    edges = df.select(F.percentile_approx(order, [i / parts for i in range(1, parts)], 100 * parts)).first()[0] or []
+    limits = F.lit(sorted(set(edges))) if edges else F.array().cast("array<double>")
+    cut = df.withColumn("part", F.size(F.filter(limits, lambda e: e < F.col(order))))
+    below = Window.partitionBy("part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = cut.groupBy("part").agg(*(F.sum(v).alias(f"total_{v}") for v in values))
+    carried = totals.select("part", *(F.coalesce(F.sum(f"total_{v}").over(earlier), F.lit(0)).alias(f"carried_{v}") for v in values))
+    inside = cut.select("*", *(F.coalesce(F.sum(v).over(below), F.lit(0)).alias(f"inside_{v}") for v in values))
+    out = inside.join(F.broadcast(carried), "part")  # one row a range
+    return out.select(*df.columns, *((F.col(f"inside_{v}") + F.col(f"carried_{v}")).alias(f"before_{v}") for v in values))
+
+
+def _threshold_counts(df: DataFrame, truth: str, score: str) -> DataFrame:
+    """Per distinct score, without rounding (nulls apart): positives p and others q at it, tp and fp at or above it, all of both."""
+    per = df.where(F.col(score).isNotNull()).groupBy(F.col(score).cast("double").alias("threshold")).agg(F.count_if(F.col(truth) > 0).alias("p"), F.count_if(F.col(truth) <= 0).alias("q"))
+    every = per.agg(F.sum("p").alias("all_p"), F.sum("q").alias("all_q"))
+    out = _before(per, "threshold", "p", "q").join(F.broadcast(every))  # one row
+    return out.select("threshold", (F.col("all_p") - F.col("before_p")).alias("tp"), (F.col("all_q") - F.col("before_q")).alias("fp"), "all_p", "all_q")
 
 
 def roc_points(df: DataFrame, truth: str, score: str) -> DataFrame:
-    """(threshold, tpr, fpr) by falling score."""
-    per = df.groupBy(F.col(score).alias("threshold")).agg(F.count_if(F.col(truth) > 0).alias("p"), F.count_if(F.col(truth) <= 0).alias("q"))
-    w = Window.orderBy(F.col("threshold").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.partitionBy()
-    return per.select("threshold", (F.sum("p").over(w) / F.sum("p").over(every)).alias("tpr"), (F.sum("q").over(w) / F.sum("q").over(every)).alias("fpr"))
+    """(threshold, tpr, fpr) at every distinct score; a rate is null where its class has no rows."""
+    c = _threshold_counts(df, truth, score)
+    rate = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b))
+    return c.select("threshold", rate("tp", "all_p").alias("tpr"), rate("fp", "all_q").alias("fpr"))
 
 
 def fold_summary(scores: DataFrame) -> DataFrame:
@@ -180,10 +195,9 @@ def report(scores: DataFrame) -> str:
 
 
 def precision_recall_points(df: DataFrame, truth: str, score: str) -> DataFrame:
-    """(threshold, precision, recall) by falling score."""
-    per = df.groupBy(F.col(score).alias("threshold")).agg(F.count_if(F.col(truth) > 0).alias("p"), F.count("*").alias("n"))
-    w = Window.orderBy(F.col("threshold").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    return per.select("threshold", (F.sum("p").over(w) / F.sum("n").over(w)).alias("precision"), (F.sum("p").over(w) / F.sum("p").over(Window.partitionBy())).alias("recall"))
+    """(threshold, precision, recall) at every distinct score; recall is null without positives."""
+    c = _threshold_counts(df, truth, score)
+    return c.select("threshold", (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"), F.when(F.col("all_p") > 0, F.col("tp") / F.col("all_p")).alias("recall"))
 
 
 def radar(metrics: DataFrame) -> DataFrame:

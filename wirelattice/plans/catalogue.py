@@ -295,25 +295,60 @@ def session_requests(spark, sf_dir):
     return graph.http_nodes(http).join(mine, "id", "left_semi")
 
 
-@query()
+_HEAD = '<?xml version="1.0" encoding="UTF-8"?>'
+
+
+def _lines(head: list[str], node: str, edge: str, tail: list[str]) -> str:
+    fixed = [(part, f"{i:02}", x) for part, lines in ((0, head), (3, tail)) for i, x in enumerate(lines)]
+    return (
+        f"with {HTTP}, {NODES}, {EDGES} select * from (values " + ", ".join(f"({a}, '{b}', '{c}')" for a, b, c in fixed)
+        + f') v(part, "at", line) union all select 1, id, {node} from nodes union all select 2, src || \'|\' || dst || \'|\' || rel, {edge} from edges'
+    )
+
+
+GRAPHML = _lines(
+    [_HEAD, '<graphml xmlns="http://graphml.graphdrawing.org/xmlns">', '<key id="t" for="node" attr.name="type" attr.type="string"/>', '<key id="r" for="edge" attr.name="rel" attr.type="string"/>', '<graph edgedefault="directed">'],
+    """format('<node id="{}"><data key="t">{}</data></node>', id, type)""",
+    """format('<edge source="{}" target="{}"><data key="r">{}</data></edge>', src, dst, rel)""",
+    ["</graph>", "</graphml>"],
+)
+GEXF = _lines(
+    [_HEAD, '<gexf xmlns="http://gexf.net/1.3" version="1.3">', '<graph defaultedgetype="directed">'],
+    """format('<node id="{}" label="{}"/>', id, type)""", """format('<edge source="{}" target="{}" label="{}"/>', src, dst, rel)""", ["</graph>", "</gexf>"],
+)
+CYTOSCAPE = (
+    f"""with {HTTP}, {NODES}, {EDGES} select 'nodes' as "group", id, '{{"data":{{"id":"' || id || '","label":"' || id[:30] || '","type":"' || type || '","color":"' """
+    """|| case type when 'request' then '#4CAF50' when 'endpoint' then '#2196F3' when 'session' then '#FF9800' else '#9C27B0' end || '"}}' as element from nodes """
+    """union all select 'edges', src || '|' || rel || '|' || dst, '{"data":{"source":"' || src || '","target":"' || dst || '","label":"' || rel || '"}}' from edges"""
+)
+_SHORT = "regexp_replace({0}[:15], '[^A-Za-z0-9]', '_', 'g')"
+MERMAID = (
+    f"with {HTTP}, {NODES}, {EDGES}, firsts as (select * from nodes order by id limit 50) select 0 as part, '' as \"at\", 'graph TD' as line "
+    f"union all select 1, id, '    ' || {_SHORT.format('id')} || '[' || id[:20] || ']' from firsts "
+    f"union all select 2, src || '|' || dst || '|' || rel, '    ' || {_SHORT.format('src')} || ' -->|' || rel || '| ' || {_SHORT.format('dst')} from edges "
+    "where src in (select id from firsts) and dst in (select id from firsts)"
+)
+
+
+@query(CYTOSCAPE)
 def cytoscape_elements(spark, sf_dir):
     http = ev.http_requests(spark, sf_dir)
     return graph.cytoscape(graph.http_nodes(http), graph.http_edges(http))
 
 
-@query()
+@query(MERMAID)
 def mermaid_lines(spark, sf_dir):
     http = ev.http_requests(spark, sf_dir)
     return graph.mermaid(graph.http_nodes(http), graph.http_edges(http))
 
 
-@query()
+@query(GRAPHML)
 def graphml_lines(spark, sf_dir):
     http = ev.http_requests(spark, sf_dir)
     return graph.graph_xml(graph.http_nodes(http), graph.http_edges(http))
 
 
-@query()
+@query(GEXF)
 def gexf_lines(spark, sf_dir):
     http = ev.http_requests(spark, sf_dir)
     return graph.graph_xml(graph.http_nodes(http), graph.http_edges(http), "gexf")
@@ -327,10 +362,14 @@ def ontology_closure(spark, sf_dir):
     return ontology.closure(spark)
 
 
-@query(f"with {HTTP}, {EDGES} select * from edges where false")
+@query(f"with {HTTP}, {EDGES} select dst as src, src as dst, rel from edges where rel = 'hasSession' union all select src, dst, 'hasEndpoint' from edges where rel = 'fromIP'")
 def invalid_edges(spark, sf_dir):
+    """Good edges stay out; turned round, or under another relation's name, they come out."""
     http = ev.http_requests(spark, sf_dir)
-    return ontology.invalid_edges(graph.http_nodes(http), graph.http_edges(http))
+    good = graph.http_edges(http)
+    turned = good.where("rel = 'hasSession'").select(F.col("dst").alias("src"), F.col("src").alias("dst"), "rel")
+    renamed = good.where("rel = 'fromIP'").select("src", "dst", F.lit("hasEndpoint").alias("rel"))
+    return ontology.invalid_edges(graph.http_nodes(http), good.unionByName(turned).unionByName(renamed)).select("src", "dst", "rel")
 
 
 # --- correlation and questions -------------------------------------------------------------------------------
@@ -353,7 +392,13 @@ def attack_histogram(spark, sf_dir):
     return anomalies(spark, sf_dir).groupBy("attack_type").agg(F.count("*").alias("n"))
 
 
-@query()
+_LINES = "lines(rule, line, category) as (values ('http_flood', 1, 'rate_anomaly'), ('http_flood', 2, 'other'), ('expensive_endpoint_burst', 1, 'other'), ('expensive_endpoint_burst', 2, 'other'), ('latency_increase', 1, 'performance_impact'), ('latency_increase', 2, 'performance_impact'))"
+
+
+@query(
+    f"{FOUND}, {_LINES}, n as (select count(*) as n from found where rule in (select rule from lines)) select 'HTTPFlood' as attack_type, category, count(*) as evidence_count, any_value(n) as anomaly_count, "
+    "round(least(1.0, 0.25 * any_value(n))::double, 6) as confidence from found join lines using (rule), n group by 2"
+)
 def hypothesis_evidence(spark, sf_dir):
     return semantic.hypothesis_evidence(anomalies(spark, sf_dir), "HTTPFlood")
 
@@ -405,12 +450,33 @@ def stix_indicators(spark, sf_dir):
     return semantic.stix_indicators(a).join(ids, "external_id").select("rule", "subject_id", "confidence", "x_severity")
 
 
+#: Seconds; some endpoints of the tables have a longer span of anomalies, some a shorter one.
+ATTACK_WINDOW = 2_000_000
+_PREFIX = {
+    "bot_behavior": "bot", "low_session_value": "low_value", "expensive_endpoint_burst": "expensive", "latency_increase": "latency", "repetitive_route": "repetitive", "slow_request": "slow",
+    "qname_randomization": "qname_random", "qname_randomization_domain": "qname_random_domain", "nxdomain_flood_domain": "nxdomain_domain", "dns_water_torture": "water_torture",
+    "dns_amplification": "dns_amp", "dns_amplification_any": "dns_amp_any", "dns_tunneling": "dns_tunnel",
+}
+_BY_SESSION = "('login_flood', 'http_flood', 'low_session_value', 'repetitive_route', 'scraping')"
+MEMBERS = (
+    f"{FOUND}, timed as (select found.*, {_KIND} as attack_type, case rule " + " ".join(f"when '{k}' then '{v}'" for k, v in _PREFIX.items()) + " else rule end || '_' || subject_id as anomaly_id, "
+    f"case when rule in {_BY_SESSION} then last_activity when rule = 'slow_request' then http.ts when rule = 'dns_amplification' then dns.ts end as seen_at "
+    f"from found left join session on rule in {_BY_SESSION} and subject_id = session.session_id left join http on rule = 'slow_request' and subject_id = request_id left join dns on rule = 'dns_amplification' and subject_id = query_id), "
+    f"mem as (select rule, anomaly_id, target_endpoint, subject_id as session_id from timed where rule in {_BY_SESSION} union select rule, anomaly_id, target_endpoint, subject_id[3:] from timed where rule = 'bot_behavior' "
+    "union select rule, anomaly_id, target_endpoint, session_id from timed join http on rule = 'slow_request' and subject_id = request_id "
+    "union select rule, anomaly_id, target_endpoint, session_id from timed join http on rule in ('expensive_endpoint_burst', 'api_abuse') and subject_id = endpoint)"
+)
+
+
 @query(
-    f"{FOUND} select target_endpoint, count(*) as anomaly_count, array_to_string(list_sort(list(distinct {_KIND})), ',') as attack_types, round(least(1.0, 0.2 * count(*))::double, 6) as confidence, case when count(*) > 5 then 'critical' else 'high' end as severity "
-    "from found where target_endpoint <> '' group by 1 having count(*) >= 2"
+    f"{MEMBERS}, k as (select target_endpoint, count(distinct session_id) as sessions from mem group by 1) select target_endpoint, count(*) as anomaly_count, array_to_string(list_sort(list(distinct attack_type)), ',') as attack_types, "
+    "coalesce(any_value(sessions), 0) as sessions, round(least(1.0, 0.2 * count(*))::double, 6) as confidence, case when count(*) > 5 then 'critical' else 'high' end as severity "
+    f"from timed left join k using (target_endpoint) where target_endpoint <> '' group by 1 having count(*) >= 2 and coalesce(epoch_us(max(seen_at)) - epoch_us(min(seen_at)), 0) < {ATTACK_WINDOW}::bigint * 1000000"
 )
 def coordinated_attacks(spark, sf_dir):
-    return correlate.coordinated_attacks(anomalies(spark, sf_dir), 1e12).drop("sessions")
+    f = frames(spark, sf_dir)
+    a = rules.detect(f, TABLES)
+    return correlate.coordinated_attacks(a, ATTACK_WINDOW, rules.members(a, f))
 
 
 @query(f"{FOUND} select count(distinct target_endpoint) filter (target_endpoint <> '') as endpoints, count(*) as anomaly_count, 1.0::double as confidence, 'critical' as severity from found")
@@ -418,14 +484,28 @@ def multi_vector(spark, sf_dir):
     return correlate.multi_vector(anomalies(spark, sf_dir), 1e12)
 
 
-@query()
+_STARS = (
+    f"{MEMBERS}, keys as (select anomaly_id, 'e:' || target_endpoint as key, 'same_endpoint' as relation, 1 as precedence from timed where target_endpoint <> '' union all select anomaly_id, 's:' || session_id, 'shared_session', 2 from mem "
+    "union all select anomaly_id, 'a:' || attack_type, 'same_attack_type', 3 from timed), hubs as (select key, min(anomaly_id) as hub from keys group by 1 having count(*) > 1), "
+    "star as (select anomaly_id, hub, arg_max(relation, precedence) as relation from keys join hubs using (key) where anomaly_id <> hub group by 1, 2)"
+)
+
+
+@query(f"{_STARS} select * from star")
 def attack_graph(spark, sf_dir):
-    return correlate.attack_graph(anomalies(spark, sf_dir))
+    f = frames(spark, sf_dir)
+    a = rules.detect(f, TABLES)
+    return correlate.attack_graph(a, rules.members(a, f))
 
 
-@query()
+@query(
+    f"{_STARS.replace('with ', 'with recursive ', 1)}, b as (select anomaly_id as a, hub as b from star union select hub, anomaly_id from star), r(node, reach) as (select distinct anomaly_id, anomaly_id from timed union select r.node, b.b from r join b on r.reach = b.a), "
+    "m as (select node, min(reach) as component from r group by 1) select component, count(*) as size from m group by 1"
+)
 def attack_components(spark, sf_dir):
-    return correlate.attack_components(anomalies(spark, sf_dir))
+    f = frames(spark, sf_dir)
+    a = rules.detect(f, TABLES)
+    return correlate.attack_components(a, rules.members(a, f))
 
 
 @query(f"{FOUND}, {NODES}, {EDGES} select (select count(*) from http) as requests, (select count(*) from nodes) as nodes, (select count(*) from edges) as edges, (select count(*) from found) as anomalies")
@@ -536,7 +616,10 @@ def session_windows(spark, sf_dir):
     return stream.sessions(e, "user_id", "30 minutes")
 
 
-@query()
+@query(
+    f"with recursive {HTTP}, a as (select endpoint as key, ts from http where response_code >= 400), r(key, ts) as (select key, min(ts) from a group by 1 union all "
+    "select r.key, (select min(a.ts) from a where a.key = r.key and a.ts >= r.ts + interval 3600 seconds) from r where r.ts is not null) select key, ts from r where ts is not null"
+)
 def alert_cooldown(spark, sf_dir):
     alerts = ev.http_requests(spark, sf_dir).where("response_code >= 400").select(F.col("endpoint").alias("key"), "ts")
     return stream.cooldown_batch(alerts, 3600)
@@ -650,20 +733,45 @@ def flow_features(spark, sf_dir):
     return experiments.flow_features(li).select("l_orderkey", "l_linenumber", "requests_per_second", "burst_ratio", "packet_size_cv")
 
 
-@query()
+def _without(parts: dict[str, list[str]], row: str) -> str:
+    """One row of SQL for all rules and one for each part left out; ``row`` has {name} and {gone}."""
+    lists = {"full": [], **parts}
+    return " union all ".join(row.format(name=k, gone="(" + ", ".join(repr(x) for x in ["", *v]) + ")") for k, v in lists.items())
+
+
+_RULE_ABLATION = _without(
+    rules.CATEGORIES,
+    "select '{name}' as component, tp, fp, fn, round(case when tp > 0 then 2 * tp / (2 * tp + fp + fn) else 0.0 end, 6) as f1 from (select count(*) filter (hit and label) as tp, count(*) filter (hit and not label) as fp, "
+    "count(*) filter (not hit and label) as fn from (select label, session_id in (select session_id from mem where rule not in {gone}) as hit from truth))",
+)
+
+
+@query(f"{MEMBERS}, truth as (select distinct session_id, cast(session_id[2:] as bigint) % 3 = 0 as label from http) {_RULE_ABLATION}")
 def rule_ablation(spark, sf_dir):
     f = frames(spark, sf_dir)
     truth = f.http.select("session_id").distinct().withColumn("label", (F.regexp_replace("session_id", "^u", "").cast("int") % 3 == 0).cast("int"))
     return experiments.rule_ablation(f, truth, TABLES)
 
 
-@query()
+_AT = "r as (select value as threshold, count(*) filter (event_type = 'error') as p, count(*) as n from events where value is not null and event_type is not null group by 1)"
+
+
+@query(
+    f"with {_AT} select round(threshold, 6) as threshold, round(sum(p) over (order by threshold desc) / sum(p) over (), 6) as tpr, "
+    "round(sum(n - p) over (order by threshold desc) / sum(n - p) over (), 6) as fpr from r"
+)
 def roc_points(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumn("t", (F.col("event_type") == "error").cast("int"))
-    return statistics.roc_points(e.withColumn("value", F.round("value", 0)), "t", "value")
+    return statistics.roc_points(e, "t", "value")
 
 
-@query()
+_ONTOLOGY_ABLATION = _without(
+    experiments.COMPONENTS,
+    "select '{name}' as component, count(*) as anomalies, count(distinct target_endpoint) filter (target_endpoint <> '') as endpoints from found where rule not in {gone}",
+)
+
+
+@query(f"{FOUND} {_ONTOLOGY_ABLATION}")
 def rule_ablation_by_ontology(spark, sf_dir):
     return experiments.ontology_ablation(frames(spark, sf_dir), TABLES)
 
@@ -688,9 +796,12 @@ def window_purge(spark, sf_dir):
     return crosssession.in_window(ev.http_requests(spark, sf_dir), "2024-01-10 00:00:00", 86_400).select("request_id")
 
 
-@query("with r as (select round(value, 0) as threshold, count(*) filter (event_type = 'error') as p, count(*) as n from events group by 1) select threshold, round(sum(p) over (order by threshold desc) / sum(n) over (order by threshold desc), 6) as precision, round(sum(p) over (order by threshold desc) / sum(p) over (), 6) as recall from r")
+@query(
+    f"with {_AT} select round(threshold, 6) as threshold, round(sum(p) over (order by threshold desc) / sum(n) over (order by threshold desc), 6) as precision, "
+    "round(sum(p) over (order by threshold desc) / sum(p) over (), 6) as recall from r"
+)
 def precision_recall_points(spark, sf_dir):
-    e = table(spark, sf_dir, "events").withColumn("t", (F.col("event_type") == "error").cast("int")).withColumn("value", F.round("value", 0))
+    e = table(spark, sf_dir, "events").withColumn("t", (F.col("event_type") == "error").cast("int"))
     return statistics.precision_recall_points(e, "t", "value")
 
 
