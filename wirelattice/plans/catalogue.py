@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from wirelattice.functions.scalars import base_domain, char_entropy, is_random_label, subdomain
 from wirelattice.operators import correlate, crosssession, experiments, graph, metrics, ontology, rules, semantic, statistics
 from wirelattice.sources import events as ev
+from wirelattice.sources.staging import materialise
 from wirelattice.sources.tables import table
 from wirelattice.streaming import pipeline as stream
 
@@ -38,6 +39,12 @@ def anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.detect(frames(spark, sf_dir), TABLES)
 
 
+def detected(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, metrics.Frames]:
+    """The anomalies, written once for queries that read them several times, and the tables they come from."""
+    f = frames(spark, sf_dir)
+    return materialise(rules.detect(f, TABLES), "anomalies"), f
+
+
 def rounded(df: DataFrame) -> DataFrame:
     return df.select(*(F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
@@ -474,8 +481,7 @@ MEMBERS = (
     f"from timed left join k using (target_endpoint) where target_endpoint <> '' group by 1 having count(*) >= 2 and coalesce(epoch_us(max(seen_at)) - epoch_us(min(seen_at)), 0) < {ATTACK_WINDOW}::bigint * 1000000"
 )
 def coordinated_attacks(spark, sf_dir):
-    f = frames(spark, sf_dir)
-    a = rules.detect(f, TABLES)
+    a, f = detected(spark, sf_dir)
     return correlate.coordinated_attacks(a, ATTACK_WINDOW, rules.members(a, f))
 
 
@@ -493,8 +499,7 @@ _STARS = (
 
 @query(f"{_STARS} select * from star")
 def attack_graph(spark, sf_dir):
-    f = frames(spark, sf_dir)
-    a = rules.detect(f, TABLES)
+    a, f = detected(spark, sf_dir)
     return correlate.attack_graph(a, rules.members(a, f))
 
 
@@ -503,8 +508,7 @@ def attack_graph(spark, sf_dir):
     "m as (select node, min(reach) as component from r group by 1) select component, count(*) as size from m group by 1"
 )
 def attack_components(spark, sf_dir):
-    f = frames(spark, sf_dir)
-    a = rules.detect(f, TABLES)
+    a, f = detected(spark, sf_dir)
     return correlate.attack_components(a, rules.members(a, f))
 
 
