@@ -129,3 +129,19 @@ def test_campaign_recall(spark, k):
         assert crosssession.credential_stuffing(http, alone).count() == 0
         scope = crosssession.mitigation_scope(http, members.join(found.select("campaign"), "campaign")).collect()
         assert [r["kind"] for r in scope] == ["fingerprint"]
+
+
+def test_top_anomalies(spark):
+    rows = [("a", "x", 0.9, 1, "DNSTunneling"), ("b", "z", 0.9000000001, 0, "HTTPFlood"), ("b", "y", 0.9, 0, "HTTPFlood"), ("c", "w", 1.0, 2, None), ("d", "v", 0.1, 3, "PhantomDomainAttack")]
+    a = spark.createDataFrame(rows, "rule string, subject_id string, score double, rule_seq int, attack_type string")
+    assert [r["subject_id"] for r in rules.top_anomalies(a, 4).orderBy("rank").collect()] == ["w", "y", "z", "x"]
+    dns = rules.top_anomalies(a, 5, rules.DNS_ATTACKS).orderBy("rank").collect()
+    assert [(r["rank"], r["subject_id"]) for r in dns] == [(1, "x"), (2, "v")]
+    assert rules.top_anomalies(a.limit(0)).count() == 0
+
+
+def test_phantom_domains_have_a_listed_attack_type(spark):
+    f = scenarios.dns_scenario(spark)
+    slow = Frames(f.http, f.dns.where("query_id like 'p%'"), f.endpoints, f.profiles)
+    found = {r["attack_type"] for r in rules.detect(slow, rules=["phantom_domain"]).collect()}
+    assert found == {"PhantomDomainAttack"} and found <= set(rules.DNS_ATTACKS)

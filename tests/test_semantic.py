@@ -5,7 +5,7 @@ from wirelattice.plans import catalogue
 
 LINES = {
     "LoginFlood": 4, "HTTPFlood": 4, "BotBehavior": 4, "APIAttack": 4, "ScrapingAttack": 4, "SlowRequestAttack": 4,
-    "QNameRandomization": 5, "NXDOMAINFlood": 5, "DNSWaterTorture": 5, "DNSAmplification": 5, "PhantomDomain": 5, "DNSTunneling": 5, "Other": 1,
+    "QNameRandomization": 5, "NXDOMAINFlood": 5, "DNSWaterTorture": 5, "DNSAmplification": 5, "PhantomDomainAttack": 5, "DNSTunneling": 5, "Other": 1,
 }
 
 

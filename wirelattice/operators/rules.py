@@ -9,7 +9,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wirelattice.functions.scalars import clamp, severity
@@ -203,7 +203,7 @@ def dns_amplification_any(f: Frames, t: Thresholds) -> DataFrame:
 def phantom_domain(f: Frames, t: Thresholds) -> DataFrame:
     r = F.col("timeout_ratio")
     d = f.domain.where(((F.col("avg_response_time_ms") > t.phantom_ms) | (r > t.phantom_ratio)) & (F.col("query_count") > t.phantom_queries))
-    return anomaly(d, "phantom_domain", "PhantomDomainAnomaly", "PhantomDomain", "phantom_domain", "domain", F.col("base_domain"), clamp(2 * r), 0.7, r, target=_dns(F.col("base_domain")), evidence={"Average response time": F.col("avg_response_time_ms"), "Timeout ratio": r})
+    return anomaly(d, "phantom_domain", "PhantomDomainAnomaly", "PhantomDomainAttack", "phantom_domain", "domain", F.col("base_domain"), clamp(2 * r), 0.7, r, target=_dns(F.col("base_domain")), evidence={"Average response time": F.col("avg_response_time_ms"), "Timeout ratio": r})
 
 
 def dns_tunneling(f: Frames, t: Thresholds) -> DataFrame:
@@ -244,6 +244,22 @@ def detect(frames: Frames, thresholds: Thresholds = CODE, rules: list[str] | Non
     return found.withColumn("rule_seq", order[F.col("rule")])
 
 
+#: The attack types of DNS anomalies.
+DNS_ATTACKS = ["QNameRandomization", "NXDOMAINFlood", "DNSWaterTorture", "DNSAmplification", "DNSTunneling", "PhantomDomainAttack"]
+
+
+def top_anomalies(anomalies: DataFrame, k: int = 3, attack_types: list[str] | None = None) -> DataFrame:
+    """The k anomalies of the highest score, of ``attack_types`` where they are given, with their ``rank`` from 1.
+
+    Scores that agree to six places are ties, which go by the order of rules and then by subject. Each task keeps k rows
+    (no sort of the whole table). Fewer than k anomalies give as many rows as there are.
+    """
+    a = anomalies if attack_types is None else anomalies.where(F.col("attack_type").isin(attack_types))
+    order = [F.round("score", 6).desc(), F.col("rule_seq"), F.col("subject_id")]
+    # the window numbers the k rows that are left
+    return a.orderBy(*order).limit(k).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+
+
 def members(anomalies: DataFrame, frames: Frames) -> DataFrame:
     """(anomaly_id, rule, target_endpoint, session_id): every session of each anomaly, once.
 

@@ -50,7 +50,7 @@ RECOMMENDATIONS = {
     "NXDOMAINFlood": ["Enable NXDOMAIN caching with appropriate TTL", "Implement Response Rate Limiting (RRL)", "Configure negative caching TTL", "Deploy DNS firewall with NXDOMAIN flood detection", "Monitor and rate-limit repetitive NXDOMAIN queries"],
     "DNSWaterTorture": ["Implement DNS query rate limiting with sliding window", "Enable DNS response caching", "Deploy anycast DNS infrastructure", "Monitor long-duration low-rate query patterns", "Consider DNS load balancing across multiple servers"],
     "DNSAmplification": ["Disable open DNS recursion on authoritative servers", "Block DNS ANY queries from external sources", "Implement source IP verification", "Configure Response Rate Limiting (RRL)", "Monitor for unusually large DNS responses"],
-    "PhantomDomain": ["Implement aggressive timeout settings for slow domains", "Configure concurrent query limits per domain", "Monitor for domains with consistently slow responses", "Implement fallback DNS servers", "Consider blocking known phantom domains"],
+    "PhantomDomainAttack": ["Implement aggressive timeout settings for slow domains", "Configure concurrent query limits per domain", "Monitor for domains with consistently slow responses", "Implement fallback DNS servers", "Consider blocking known phantom domains"],
     "DNSTunneling": ["Deploy DNS tunneling detection solutions", "Monitor for unusually long DNS queries", "Block or rate-limit TXT record queries", "Implement DNS query length limits", "Analyze DNS traffic for encoded data patterns"],
 }
 #: Categories of evidence, tested in this order; the first three on the text as it is, the others on its lower case.

@@ -225,6 +225,21 @@ def all_anomalies(spark, sf_dir):
     return anomalies(spark, sf_dir).select(*PLAIN)
 
 
+def _top_sql(names: list[str], k: int) -> str:
+    found = " union all ".join(RULE_SQL[n] for n in names)
+    return f"{ALL}, found as ({found}) select cast(row_number() over (order by score desc, list_position({list(rules.RULES)}, rule), subject_id) as integer) as rank, found.* from found qualify rank <= {k}"
+
+
+@query(_top_sql(list(rules.RULES), 3))
+def top_anomalies(spark, sf_dir):
+    return rules.top_anomalies(anomalies(spark, sf_dir), 3).select("rank", *PLAIN)
+
+
+@query(_top_sql([n for n in rules.RULES if n.startswith(("qname", "nxdomain", "dns_", "phantom"))], 5))
+def top_dns_anomalies(spark, sf_dir):
+    return rules.top_anomalies(anomalies(spark, sf_dir), 5, rules.DNS_ATTACKS).select("rank", *PLAIN)
+
+
 @query(f"{ALL} " + _rule("slow_request", "request_id", "least(1.0, response_time_ms / 60000)", 0.75, "response_time_ms", "http", "response_time_ms > 30000 and method = 'POST'", "endpoint", _SEV))
 def ontology_slow_request(spark, sf_dir):
     return rules.detect(frames(spark, sf_dir), rules.ONTOLOGY, ["slow_request"]).select(*PLAIN)
@@ -382,7 +397,7 @@ def invalid_edges(spark, sf_dir):
 # --- correlation and questions -------------------------------------------------------------------------------
 
 FOUND = f"{ALL}, found as ({_UNION}), weighed as (select *, case severity when 'low' then 1 when 'medium' then 2 when 'high' then 3 else 4 end as w from found)"
-_ATTACK = {"login_flood": "LoginFlood", "http_flood": "HTTPFlood", "bot_behavior": "BotBehavior", "low_session_value": "APIAttack", "expensive_endpoint_burst": "HTTPFlood", "latency_increase": "HTTPFlood", "repetitive_route": "BotBehavior", "slow_request": "SlowRequestAttack", "scraping": "ScrapingAttack", "api_abuse": "APIAttack", "qname_randomization": "QNameRandomization", "qname_randomization_domain": "QNameRandomization", "nxdomain_flood": "NXDOMAINFlood", "nxdomain_flood_domain": "NXDOMAINFlood", "dns_water_torture": "DNSWaterTorture", "dns_amplification": "DNSAmplification", "dns_amplification_any": "DNSAmplification", "phantom_domain": "PhantomDomain", "dns_tunneling": "DNSTunneling"}
+_ATTACK = {"login_flood": "LoginFlood", "http_flood": "HTTPFlood", "bot_behavior": "BotBehavior", "low_session_value": "APIAttack", "expensive_endpoint_burst": "HTTPFlood", "latency_increase": "HTTPFlood", "repetitive_route": "BotBehavior", "slow_request": "SlowRequestAttack", "scraping": "ScrapingAttack", "api_abuse": "APIAttack", "qname_randomization": "QNameRandomization", "qname_randomization_domain": "QNameRandomization", "nxdomain_flood": "NXDOMAINFlood", "nxdomain_flood_domain": "NXDOMAINFlood", "dns_water_torture": "DNSWaterTorture", "dns_amplification": "DNSAmplification", "dns_amplification_any": "DNSAmplification", "phantom_domain": "PhantomDomainAttack", "dns_tunneling": "DNSTunneling"}
 _KIND = "case rule " + " ".join(f"when '{k}' then '{v}'" for k, v in _ATTACK.items()) + " end"
 
 
