@@ -107,10 +107,18 @@ def detect_stream(requests: DataFrame, rules: Callable[[DataFrame], DataFrame],
 
 
 def link_streams(dns: DataFrame, http: DataFrame, seconds: int = 300, late: str = LATE) -> DataFrame:
-    """DNS queries and HTTP requests of one address prefix at most ``seconds`` apart: an interval join with watermarks on both sides."""
+    """DNS queries and HTTP requests of one address prefix at most ``seconds`` apart: an interval join with watermarks on both sides.
+
+    Time is cut into slices twice as long as that reach. A request lies in one slice and a query joins every slice that it reaches into (two),
+    so rows meet only those near them in time, and each pair meets once.
+    """
     pre = lambda c: F.substring_index(c, ".", 3)
+    part = lambda t: F.floor(F.unix_micros(t) / max(int(seconds * 2_000_000), 1))
     d, h = dns.select(pre("src_ip").alias("dp"), F.col("ts").alias("dts"), "query_id"), http.select(pre("src_ip").alias("hp"), F.col("ts").alias("hts"), "request_id")
     if dns.isStreaming:
         d, h = d.withWatermark("dts", late), h.withWatermark("hts", late)
-    near = F.expr(f"dp = hp and hts >= dts - interval {seconds} seconds and hts <= dts + interval {seconds} seconds")
+    reach = F.expr(f"interval {seconds} seconds")
+    d = d.withColumn("dk", F.explode(F.sequence(part(F.col("dts") - reach), part(F.col("dts") + reach))))
+    h = h.withColumn("hk", part(F.col("hts")))
+    near = F.expr(f"dp = hp and dk = hk and hts >= dts - interval {seconds} seconds and hts <= dts + interval {seconds} seconds")
     return d.join(h, near).select(F.col("dp").alias("prefix"), "query_id", "request_id", "dts", "hts")
